@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, pack, quality, secrets, shard
+from . import bpe, chat, exact, lm, pack, quality, secrets, shard
 from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     base = F.transform(F.filter(spans, lambda x: x["kind"] != "named"), lambda x: x["said"])
     return found.select("doc_id", n("assign"), n("access"), n("hex"), digest(F.concat_ws(",", base)).alias("base_sha256"), F.concat_ws(",", F.transform(spans, lambda x: x["said"])).alias("spans"))
+
+
+@query("op10_pseudo_likelihood")
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs, Scratch(spark, "op10")))
