@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, lm, pack, quality, secrets, shard
+from . import bpe, chat, exact, jaccard, lm, pack, quality, secrets, shard
 from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,30 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), digest(F.concat_ws(",", base)).alias("base_sha256"), F.concat_ws(",", F.transform(spans, lambda x: x["said"])).alias("spans"))
 
 
+@query(
+    "op9_jaccard_join",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT DISTINCT a AS one, a AS other FROM links UNION SELECT one, b FROM reached JOIN links ON other = a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id
+FROM sets LEFT JOIN (SELECT one, min(other) AS m FROM reached GROUP BY one) ON one = doc_id
+""",
+)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark, "op9"), jaccard.Rule(4, 85))
+
+
 @query("op10_pseudo_likelihood")
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
