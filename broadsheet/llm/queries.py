@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, jaccard, lm, pack, quality, secrets, shard
+from . import bpe, chat, exact, jaccard, lm, pack, quality, secrets, shard, suffix
 from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), digest(F.concat_ws(",", base)).alias("base_sha256"), F.concat_ws(",", F.transform(spans, lambda x: x["said"])).alias("spans"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), 100)
+
+
 @query(
     "op9_jaccard_join",
     r"""
