@@ -125,11 +125,12 @@ class Trie:
             while d < n:  # states of longer and longer prefixes; the whole word last, with its end
                 d += 1
                 self.visited += 1
-                end = word[:d] + END if d == n else word[:d]
+                low = max(0, d - longest)
+                end = word[low:d] + END if d == n else word[low:d]
                 # only one start can be right: the last token mostly goes on or ends, so those starts come first
                 at = start[-1]
-                for i in (*range(at, d), *range(at - 1, max(-1, d - longest - 1), -1)):
-                    t = vocab.get(end[i:])
+                for i in (*range(max(at, low), d), *range(min(at, d) - 1, low - 1, -1)):
+                    t = vocab.get(end[i - low :])
                     if t is None:
                         continue
                     k = last[i] << 20 | t

@@ -85,21 +85,25 @@ def shard(df: DataFrame, size: Column, group: Column, order: str, scratch: Scrat
     group: rows with an equal value stay together; groups come in the order of their smallest `order` value, and a
     shard is a run of groups. The largest shard's sum of sizes is as small as such a partition allows. A group
     larger than the mean fills a shard alone if need be. size must be 1 or more. Rows that are equal in all of
-    group and order have their slots in any order. An empty table gives an empty result.
+    group and order have their slots in any order; a null group is a group, and comes by its order like any other. Columns
+    named shard or slot are replaced. An empty table gives an empty result.
     """
+    own = [c for c in df.columns if c not in ("shard", "slot")]
     if df.isEmpty():
-        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    keyed = scratch.keep(df.withColumns({"size_": size.cast("long"), "group_": group}), "keyed")
-    firsts = keyed.groupBy("group_").agg(F.min(order).alias("first_"))
-    rows = keyed.join(firsts, "group_")
-    # all rows of a group have the same first_; sizes of 1 or more make running totals distinct
-    rows = running(rows, ["first_", "group_", order], {"end_": F.col("size_"), "row_": F.lit(1).cast("long")}, scratch, "ordered")
+        return df.select(*own, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    # df's own columns stay out of the way of those that are worked with
+    rows = df.select(F.struct(*own).alias("kept"), size.cast("long").alias("size"), group.alias("group"), F.col(order).alias("order"))
+    keyed = scratch.keep(rows, "keyed")
+    firsts = keyed.groupBy("group").agg(F.min("order").alias("first"))
+    rows = keyed.join(firsts, "group")
+    # all rows of a group have the same first; sizes of 1 or more make running totals distinct
+    rows = running(rows, ["first", "group", "order"], {"end": F.col("size"), "row": F.lit(1).cast("long")}, scratch, "ordered")
     rows = scratch.keep(rows, "placed")
-    groups = scratch.keep(rows.groupBy("group_").agg(F.max("end_").alias("end"), F.max("row_").alias("last")), "groups")
+    groups = scratch.keep(rows.groupBy("group").agg(F.max("end").alias("end"), F.max("row").alias("last")), "groups")
     cuts = cut_points(groups.select("end"), shards)
     before = {r["end"]: r["last"] for r in groups.where(F.col("end").isin(cuts)).collect()}
     at, starts = F.lit(0), F.lit(0).cast("long")
     for k, c in enumerate(cuts[:-1], 1):
-        at = F.when(F.col("end_") > c, k).otherwise(at)
-        starts = F.when(F.col("end_") > c, F.lit(before[c]).cast("long")).otherwise(starts)
-    return rows.select(*df.columns, at.cast("int").alias("shard"), (F.col("row_") - 1 - starts).alias("slot"))
+        at = F.when(F.col("end") > c, k).otherwise(at)
+        starts = F.when(F.col("end") > c, F.lit(before[c]).cast("long")).otherwise(starts)
+    return rows.select("kept.*", at.cast("int").alias("shard"), (F.col("row") - 1 - starts).alias("slot"))
