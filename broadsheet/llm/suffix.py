@@ -25,7 +25,9 @@ BLOCK = 2_000_000
 #: Buckets of anchors; an owner has whole ones.
 OWNED = 2048
 #: Marks (24 bytes each) that a join may broadcast; more are joined by a shuffle.
-BROADCAST_MARKS = 1_500_000
+BROADCAST_MARKS = 1_000_000
+#: Bytes of removed runs that a join may broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Never a byte of UTF-8 text, so it parts segments.
 BORDER = 0xFF
 
@@ -344,6 +346,28 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     return segments.drop("owner").mapInArrow(settle, "id long, lo int, hi int")
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """id, lo, hi (array<int>): the maximal runs of a document's ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column("x").flatten()
+            lo, hi = (flat.field(j).to_numpy().astype(np.int64) for j in (0, 1))
+            doc = np.repeat(np.arange(len(b), dtype=np.int64), np.diff(b.column("x").offsets.to_numpy()))
+            order = np.lexsort((lo, doc))
+            # one line of numbers for all documents
+            base = doc[order] << 32
+            lo, hi = lo[order] + base, np.maximum.accumulate(hi[order] + base)
+            new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(lo) else np.zeros(0, np.int64)
+            end = np.append(new[1:], len(lo)) - 1
+            at = pa.array(np.searchsorted(base[new], np.arange(len(b) + 1, dtype=np.int64) << 32).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(((x[y] - base[new])).astype(np.int32))) for x, y in ((lo, new), (hi, end))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *lists], names=["id", "lo", "hi"])
+
+    by_id = found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))
+    return by_id.mapInArrow(run, "id long, lo array<int>, hi array<int>")
+
+
 def dedup(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the other bytes joined.
 
@@ -363,34 +387,27 @@ def dedup(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
     own = by_keys(rows, copies, ["id"], "left_anti")
     found = scratch.keep(repeats(own.where(F.octet_length("text") >= length), scratch, length), "found")
-    spans = scratch.keep(found.distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
-    n = spans.count()
-    touched = own.join(F.broadcast(spans) if n <= BROADCAST_MARKS // 8 else spans, "id")
+    spans = scratch.keep(merged(found), "spans")
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("lo")).alias("runs")).first()
+    few = 64 * size["n"] + 8 * (size["runs"] or 0) <= BROADCAST_BYTES
+    touched = own.join(F.broadcast(spans) if few else spans, "id")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offset = bytes_of(b.column("text"))
             out = []
-            for i, spans in enumerate(b.column("spans").to_pylist()):
+            for i, (los, his) in enumerate(zip(b.column("lo").to_pylist(), b.column("hi").to_pylist())):
                 raw = data[offset[i] : offset[i + 1]].tobytes()
-                kept, at, removed, runs = [], 0, 0, 0
-                for s in spans:
-                    lo, hi = max(s["lo"], at), min(s["hi"], len(raw))
-                    if hi <= at:
-                        continue
-                    if s["lo"] > at or not runs:
-                        runs += 1
-                        kept.append(raw[at:lo])
-                    removed += hi - lo
-                    at = hi
-                kept.append(raw[at:])
-                out.append((removed, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len_ for len_ in np.diff(offset)], pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    changed = touched.select("id", "text", "spans").mapInArrow(take, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    changed = scratch.keep(changed, "changed").dropDuplicates()
+                # a row with the same id and a shorter text has fewer bytes to lose
+                runs = [(x, min(y, len(raw))) for x, y in zip(los, his) if x < len(raw)]
+                kept = [raw[x:y] for x, y in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(raw)])]
+                out.append((sum(y - x for x, y in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), hashlib.sha256(raw).hexdigest()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array([x[j] for x in out], pa.string() if j > 1 else pa.int64()) for j in range(4)]], names=["id", "n_removed", "n_spans", "kept_sha256", "sha"])
+
+    changed = touched.select("id", "text", "lo", "hi").mapInArrow(take, "id long, n_removed long, n_spans long, kept_sha256 string, sha string")
+    changed = scratch.keep(changed, "changed").dropDuplicates(["id", "sha"])
     gone = copies.distinct().withColumn("copy", F.lit(True))
-    out = base.join(gone, "id", "left").join(changed.drop("n_bytes"), "id", "left")
+    out = base.join(gone, "id", "left").join(changed, ["id", "sha"], "left")
     whole = F.col("copy").isNotNull() & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
