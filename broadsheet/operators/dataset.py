@@ -25,7 +25,7 @@ def exact_split(rows: DataFrame, key: str, origin: str, share: float | None = No
             raise ValueError("a share is under a half, or 1")
         rows = rows.withColumn("test_share", F.lit(float(share)))
     h = F.md5(F.col(key).cast("string"))
-    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, 2))
+    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, 3))
     cells = rows.groupBy(origin, "cell_").agg(F.count("*").alias("c_"))
     w = Window.partitionBy(origin).orderBy("cell_")
     cells = cells.select(origin, "cell_", (F.sum("c_").over(w) - F.col("c_")).alias("before_"), F.sum("c_").over(Window.partitionBy(origin)).alias("n_"))
