@@ -112,3 +112,19 @@ def test_best_fit_is_one_by_one_best_fit(lengths):
             assert o == at
             at += n
         assert at <= 64
+
+
+@pytest.fixture(scope="module")
+def byte_library():
+    return Tokenizer.from_file(BYTE)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return pack.Encoder(open(BYTE).read())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="ab's  \t\n\x85\xa0\x1c1²é<|endoftext|>", max_size=80))
+def test_byte_ids_like_the_library(byte_library, encoder, text):
+    assert encoder.ids(text).tolist() == byte_library.encode(text, add_special_tokens=False).ids
