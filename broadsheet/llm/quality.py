@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, Scratch, let
+from .common import BROADCAST_ROWS, SPACE, SPACE_CHARS, Scratch, let
 
 #: A line goes from a host's documents when more than this share of the host's different texts has it ...
 LINE_SHARE = 0.10
@@ -46,56 +46,85 @@ def key_of(text: Column) -> Column:
     return F.concat_ws(":", F.xxhash64(text), F.xxhash64(text, F.lit(1)))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One narrow row per row of docs: doc_id, source, the text's key, the base counts, and its different lines."""
-    text = F.coalesce("text", F.lit(""))
-    bare = F.translate("text", SPACE_CHARS, "")
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+def line_of(x: Column) -> Column:
+    """A line as it is compared: a hash of it in lower case with white space and digits alike, and its words."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, f"{SPACE}+", " "))), "[0-9]+", "0"), " +", " ")
+    return let(plain, lambda p: F.struct(F.xxhash64(p).alias("line"), (F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).alias("words")))
+
+
+def is_blank(x: Column) -> Column:
+    return F.translate(x, SPACE_CHARS, "") == ""
+
 
-    def line(x: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, f"{SPACE}+", " "))), "[0-9]+", "0"), " +", " ")
-        return F.struct(F.xxhash64(plain).alias("line"), (F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).alias("words"))
+def total_words(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda a, x: a + x["words"]).cast("long")
+
+
+def measure(docs: DataFrame, columns: list[str] = []) -> DataFrame:  # noqa: B006
+    """One narrow row per row of docs: doc_id, source, the text and its key, the base counts, its different lines, the
+    hash of each line in order (blank ones are as the empty one), and a struct `own` of further columns."""
+    own = F.struct(*[F.col(c) for c in columns]) if columns else F.lit(None)
+    text = F.coalesce("text", F.lit(""))
+    bare = F.translate("filled", SPACE_CHARS, "")
+    lines = F.split("filled", "\n", -1)
 
-    first = docs.select("doc_id", "source", text.alias("text"))
-    first = first.select("doc_id", "source", "text", key_of(F.col("text")).alias("key"), F.length(bare).alias("word_chars"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("n_symbols"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    first = docs.select("doc_id", "source", "text", text.alias("filled"), own.alias("own"))
+    first = first.select("doc_id", "source", "text", "own", "filled", key_of(F.col("filled")).alias("key"), F.length(bare).alias("word_chars"), (F.length("filled") - F.length(F.translate("filled", "#*$%&|<>", ""))).alias("n_symbols"), words_of(F.col("filled")).alias("words"), F.filter(lines, lambda x: ~is_blank(x)).alias("lines"), F.transform(lines, line_of).alias("marks"))
     return first.select(
         "doc_id",
         "source",
+        "text",
+        *(["own"] if columns else []),
         "key",
         F.size("words").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.array_distinct(F.transform("lines", line)).alias("lines"),
+        F.filter(F.array_distinct("marks"), lambda x: x["line"] != F.xxhash64(F.lit(""))).alias("lines"),
+        F.transform("marks", lambda x: x["line"]).alias("marks"),
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_texts: int = LINE_TEXTS, left_share: float = LEFT_SHARE) -> DataFrame:
-    """Per row: doc_id, key, the base counts, left_words, base_failed, kept.
+def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_texts: int = LINE_TEXTS, left_share: float = LEFT_SHARE, columns: list[str] = []) -> DataFrame:  # noqa: B006
+    """Per row: doc_id, key, the base counts, left_words, base_failed, kept, source, text, n_lost, and the further columns named.
 
     Base: under 50 words, or over half of the words in repeated windows of three, fails. Beyond it, lines are
     compared in lower case with runs of white space as one space and runs of digits as 0. A line is common to a host
     (the source column; null is a host) when more than line_share of the host's different texts, and line_texts at
-    least, have it; copies of a text count once. Common lines are taken away, and a document is rejected when of the
-    words of its lines, each different line once, under left_share is left. Null texts count as empty, so they fail.
-    Repeated rows are judged alike and all returned. Other columns are not read. An empty table gives no rows.
+    least, have it; copies of a text count once. Common lines are taken out of the text that is returned, each time
+    they occur (n_lost times in all; a null text stays null); the key is that of the text before. A document is rejected
+    when of the words of its lines, each different line once, under left_share is left.
+    Null texts count as empty, so they fail. Repeated rows are judged alike and all returned. An empty table gives no rows.
 
-    The text is read once; all later steps work on hashes of lines. A line's texts are counted from partial sums.
+    The source text is read once, and split into lines once. A line's texts are counted from partial sums. A host's
+    common lines meet its rows by a broadcast if they are few; else each text's own ones by a join.
     """
-    base = scratch.keep(measure(docs), "base")
+    base = scratch.keep(measure(docs, columns), "base")
     host = F.coalesce("source", F.lit("")).alias("host")
     texts = base.select(host, "key", "lines")
-    lines = texts.select("host", "key", F.explode("lines").alias("x")).select("host", "key", "x.line", "x.words")
-    lines = scratch.keep(lines.groupBy("host", "line", "key").agg(F.max("words").alias("words")), "lines")
+    lines = texts.select("host", "key", F.explode("lines").alias("x")).select("host", "key", "x.line")
+    lines = lines.distinct()
     sizes = texts.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_texts)
     common = often.join(sizes, "host").where(F.col("n") > line_share * F.col("texts")).select("host", "line")
     common = scratch.keep(common, "common")
-    gone = lines.join(common, ["host", "line"]).groupBy("host", "key").agg(F.sum("words").alias("gone"))
-    gone = scratch.keep(gone, "gone")
-    all_words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"]).cast("long")
-    rows = base.withColumns({"host": host, "all_": all_words}).drop("lines").join(gone, ["host", "key"], "left")
-    left = F.col("all_") - F.coalesce("gone", F.lit(0))
+    rows = base.withColumn("host", host)
+    if common.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(common.groupBy("host").agg(F.collect_list("line").alias("common"))), "host", "left")
+    else:
+        gone = lines.join(common, ["host", "line"]).groupBy("host", "key").agg(F.collect_list("line").alias("common"))
+        rows = rows.join(scratch.keep(gone, "gone"), ["host", "key"], "left")
+    rows = rows.withColumn("lost", F.when(F.col("common").isNotNull(), F.array_intersect("marks", "common")))
+    stays = lambda x, i: ~F.coalesce(F.array_contains("lost", F.get("marks", i)), F.lit(False))
+    some = F.coalesce(F.size("lost"), F.lit(0)) > 0
+    rows = rows.withColumn("left_lines", F.when(some, F.filter(F.split("text", "\n", -1), stays)))
+    changed = F.col("left_lines").isNotNull()
+    clean = F.when(changed, F.array_join("left_lines", "\n")).otherwise(F.col("text")).alias("text")
+    # what is left is counted on the lines that are returned
+    recounted = total_words(F.array_distinct(F.transform(F.filter("left_lines", lambda x: ~is_blank(x)), line_of)))
+    all_words = total_words(F.col("lines"))
+    rows = rows.withColumns({"all_": all_words, "left_words": F.when(changed, recounted).otherwise(all_words)})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("left_words"), failed.alias("base_failed"), (~failed & (left >= left_share * F.col("all_"))).alias("kept"))
+    n_lost = F.when(changed, F.size("marks") - F.size("left_lines")).otherwise(0).cast("long")
+    return rows.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", failed.alias("base_failed"), (~failed & (F.col("left_words") >= left_share * F.col("all_"))).alias("kept"), "source", clean, n_lost.alias("n_lost"), *[F.col("own")[c].alias(c) for c in columns])

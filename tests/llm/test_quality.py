@@ -61,3 +61,19 @@ def test_common_lines_deplete_and_spare(spark):
     assert not got[1000]["kept"] and not got[1001]["kept"] and got[1000]["left_words"] == 4
     assert got[1002]["kept"] and got[1003]["kept"], "the line is rare on these hosts"
     assert all(got[2000 + i]["kept"] for i in range(300)), "copies count as one text"
+
+
+def test_common_lines_go_from_the_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    line = "Read 12 more on  this page"
+    own = {i: " ".join(f"w{spell(i)}x{spell(j)}" for j in range(60)) for i in range(100)}
+    rows = [(i, f"{line}\n{own[i]}\n\n {line.upper().replace('12', '7')} \nend {spell(i)}" if i < 40 else own[i], "en", "h", 1) for i in range(100)]
+    rows += [(200, f"{line}\n{own[0]} more", "en", "other", 1), rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted((i, f"{own[i]}\n\nend {spell(i)}" if i < 40 else t) for i, t, *_ in rows)
+    for few in (quality.BROADCAST_ROWS, 0):  # a host's lines by broadcast, and each text's by a join
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", few)
+        got = corpus_pipeline.quality_rules(spark, df, "").collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == want
+        assert all(r["n_chars"] == (len(r["text"]) if r["doc_id"] < 40 else 1) for r in got)
