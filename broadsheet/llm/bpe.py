@@ -9,9 +9,11 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of text whose words are looked up together, and words whose encodings a worker remembers.
 CHARS, WORDS = 4_000_000, 300_000
@@ -231,8 +233,8 @@ def coder(spec: Broadcast, make: Callable[[str], object] = Coder):
     return kept.coder
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per row: the id, n_tokens, ids_sha256, decoded_sha256 of the whole text's encoding and of its decoding.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Per row: the id, ids array<int> of the whole text's encoding, and decoded, the text that these ids stand for.
 
     path: a tokenizer's file of the kind with word ends, on the driver, which sends its contents to the workers (their size is
     fixed by the vocabulary). Null texts count as empty. Row order and repeated rows stay; other columns are not read.
@@ -242,13 +244,33 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = coder(spec)
         for b in batches:
-            n, ids_sha, said_sha = [], [], []
+            at = 0
             for group in small_groups(b.column("text").to_pylist()):
-                for ids, said in made.batch(group):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    said_sha.append(hashlib.sha256(said.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(said_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, said = zip(*made.batch(group))
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(group)), tokens, pa.array(said, pa.string())], names=[id_col, "ids", "decoded"])
+                at += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per row of encode(): the id, n_tokens, ids_sha256 (of 32-bit little-endian integers), decoded_sha256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b.column("ids").offsets.to_numpy()
+            flat = b.column("ids").values.to_numpy().astype("<i4", copy=False)
+            shas = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.diff(ends), pa.int64()), pa.array(shas, pa.string()), b.column("decoded_sha256")], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    said = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return encoded.select(id_col, "ids", said).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """The digests of what encode() gives."""
+    return digests(encode(docs, path, id_col), id_col)

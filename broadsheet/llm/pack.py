@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, worker_cache
+from .bpe import byte_letters, small_groups, worker_cache
 from .common import Scratch, running
 
 # The word pattern of the byte-level vocabulary's pre-tokenizer.
@@ -41,24 +41,24 @@ class Encoder:
 
 
 def tokenized(docs: DataFrame, spec: Broadcast, capacity: int) -> DataFrame:
-    """Per row: doc_id, head (length of the first piece, from 1 to capacity), full (pieces of capacity after it), crcs of all pieces."""
+    """Per row: doc_id, head (length of the first piece, from 1 to capacity), full (pieces of capacity after it), ids of all pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker_cache()
         if getattr(kept, "packer", None) is None:
             kept.packer = Encoder(spec.value)
         for b in batches:
-            heads, fulls, crcs = [], [], []
-            for text in b.column("text").to_pylist():
-                ids = np.append(kept.packer.ids(text or ""), np.uint32(END_ID)).astype("<u4")
-                head = (len(ids) - 1) % capacity + 1
-                cuts = [0, *range(head, len(ids) + 1, capacity)]
-                heads.append(head)
-                fulls.append(len(cuts) - 2)
-                crcs.append([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(cuts, cuts[1:])])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(heads, pa.int32()), pa.array(fulls, pa.int32()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "head", "full", "crcs"])
+            at = 0
+            for texts in small_groups(b.column("text").to_pylist()):
+                ids = [np.append(kept.packer.ids(t), np.uint32(END_ID)).astype(np.int32) for t in texts]
+                n = np.array([len(x) for x in ids], np.int64)
+                ends = pa.array(np.cumsum(np.append(0, n)).astype(np.int32))
+                head = (n - 1) % capacity + 1
+                arrays = [b.column("doc_id").slice(at, len(texts)), pa.array(head.astype(np.int32)), pa.array(((n - head) // capacity).astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "head", "full", "ids"])
+                at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, head int, full int, crcs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, head int, full int, ids array<int>")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -114,7 +114,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 
 
 def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = 1024) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Per piece: doc_id, piece, start, length, ids_crc32 (of ids as 32-bit little-endian integers), sequence_id, offset, ids array<int>.
 
     docs: doc_id, text; other columns are not read. A document is the ids of its whole text (null: empty), then END_ID,
     by the tokenizer file at path on the driver. Longer ones than capacity are cut so that the first piece may be
@@ -122,15 +122,16 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = 1024) ->
     first, ties by doc_id. Sequences are numbered from 0, those of full pieces last. Repeated rows are documents of
     their own. An empty table gives no rows.
 
-    Tokens don't leave the task that makes them. The driver sees the counts of the lengths, capacity numbers at most;
-    where documents go follows from a run's place and their rank in the sorted order, which is a running total.
+    Tokens are written once; only lengths are sorted, and the places found meet the tokens by a number of the row. The
+    driver sees the counts of the lengths, capacity numbers at most; where documents go follows from a run's place and
+    their rank in the sorted order, which is a running total.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
-    made = scratch.keep(tokenized(docs, spec, capacity), "tokens")
+    made = scratch.keep(tokenized(docs, spec, capacity).withColumn("nr", F.monotonically_increasing_id()), "tokens")
     counts = {r["head"]: r["n"] for r in made.groupBy("head").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return made.select("doc_id", F.lit(0).alias("piece"), *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")])
+        return made.select("doc_id", F.lit(0).alias("piece"), *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")], "ids")
     runs, used = best_fit(counts, capacity)
     before, at = {}, 0
     for length in sorted(counts):
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = 1024) ->
     # rank in the sorted order, over all lengths, at which each run starts
     table[:, 1] += np.array([before[x] for x in table[:, 0]])
     table = table[np.argsort(table[:, 1])]
-    ranked = running(made, ["head", "doc_id"], {"row": F.lit(1).cast("long"), "fulls": F.col("full").cast("long")}, scratch, "ranked")
+    ranked = running(made.select("head", "full", "doc_id", "nr"), ["head", "doc_id", "nr"], {"row": F.lit(1).cast("long"), "fulls": F.col("full").cast("long")}, scratch, "ranked")
     places = spark.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +156,17 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = 1024) ->
             piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             first = piece == 0
             start = np.where(first, 0, head[of] + (piece - 1) * capacity)
+            size = np.where(first, head[of], capacity)
             seq = np.where(first, (t[i, 2] + row - t[i, 1])[of], used + (fulls - full)[of] + piece - 1)
+            # the pieces of all rows, one after another, are the tokens of all rows
+            flat, ends = b.column("ids").flatten(), np.append(0, np.cumsum(size))
+            raw = flat.to_numpy().astype("<i4", copy=False)
+            crc = pa.array([zlib.crc32(raw[x:y]) for x, y in zip(ends, ends[1:])], pa.int64())
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(np.where(first, head[of], capacity), pa.int64()), b.column("crcs").flatten(), pa.array(seq, pa.int64()), pa.array(np.where(first, t[i, 3][of], 0), pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [b.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), crc, pa.array(seq, pa.int64()), pa.array(np.where(first, t[i, 3][of], 0), pa.int64()), ids],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"],
             )
 
-    return ranked.select("doc_id", "head", "full", "crcs", "row", "fulls").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    found = made.select("nr", "ids").join(ranked.hint("shuffle_hash"), "nr")
+    return found.select("doc_id", "head", "full", "row", "fulls", "ids").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")

@@ -62,7 +62,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_trie_bpe")
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # written, so that a worker either encodes or digests
+    encoded = Scratch(spark, "op2").keep(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "encoded", compression="zstd")
+    return bpe.digests(encoded)
 
 
 @query("op3_minimax_shards")
@@ -75,7 +77,7 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_best_fit_pack")
 def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 @query(

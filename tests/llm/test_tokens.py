@@ -128,3 +128,20 @@ def encoder():
 @given(st.text(max_size=60) | st.text(alphabet="ab's  \t\n\x85\xa0\x1c1²é<|endoftext|>", max_size=80))
 def test_byte_ids_like_the_library(byte_library, encoder, text):
     assert encoder.ids(text).tolist() == byte_library.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_are_given_not_only_their_digests(odd, library, byte_library, scratch):
+    texts = sorted((r["doc_id"] or -1, r["text"] or "") for r in odd.select("doc_id", "text").collect())
+    want = sorted((i, ids := library.encode(t, add_special_tokens=False).ids, library.decode(ids, skip_special_tokens=False)) for i, t in texts)
+    assert sorted((r["doc_id"] or -1, r["ids"], r["decoded"]) for r in bpe.encode(odd, WORD).collect()) == want
+    rows = pack.pack(odd, scratch, BYTE).collect()
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"] or -1, r["piece"])):
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        at.setdefault((r["doc_id"] or -1, r["start"]), []).append(r["ids"])
+    for i, t in texts:
+        ids = [*byte_library.encode(t, add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for x, y in zip(cuts, cuts[1:]):
+            at[i, x].remove(ids[x:y])
+    assert not any(at.values())
