@@ -145,7 +145,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), 100)
+    return suffix.digests(suffix.cut_out(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), 100))
 
 
 @query(

@@ -7,7 +7,6 @@ with the same anchor meet in the same task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -368,8 +367,8 @@ def merged(found: DataFrame) -> DataFrame:
     return by_id.mapInArrow(run, "id long, lo array<int>, hi array<int>")
 
 
-def dedup(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the other bytes joined.
+def cut_out(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
+    """Per row: doc_id, n_bytes, lo and hi (array<int>: the maximal removed runs of bytes), kept (binary: the other bytes joined).
 
     A byte goes if a string of `length` bytes over it also starts earlier: in a document with a smaller doc_id, or
     earlier in the same one; strings are judged on the input. Null texts count as empty, null ids as the smallest. Rows with the same id
@@ -380,40 +379,48 @@ def dedup(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     whole if they are long enough.
     """
     text = F.coalesce("text", F.lit(""))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id")
     sha = F.sha2(text.cast("binary"), 256)
-    base = scratch.keep(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha")), "base")
+    hash_ = F.xxhash64(text).alias("h")  # tells texts of the same id apart
+    base = scratch.keep(docs.select(id_, hash_, F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha")), "base")
     firsts = base.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = scratch.keep(base.join(firsts, "sha").where("id != first").select("id"), "copies")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
-    own = by_keys(rows, copies, ["id"], "left_anti")
-    found = scratch.keep(repeats(own.where(F.octet_length("text") >= length), scratch, length), "found")
-    spans = scratch.keep(merged(found), "spans")
-    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("lo")).alias("runs")).first()
-    few = 64 * size["n"] + 8 * (size["runs"] or 0) <= BROADCAST_BYTES
-    touched = own.join(F.broadcast(spans) if few else spans, "id")
+    copies = scratch.keep(base.join(firsts, "sha").where("id != first").select("id", "h", "n_bytes").distinct(), "copies")
+    rows = docs.select(id_, hash_, text.alias("text"))
+    own = by_keys(rows, copies, ["id", "h"], "left_anti").where(F.octet_length("text") >= length)
+    found = scratch.keep(repeats(own.drop("h"), scratch, length), "found")
+    whole = copies.where(F.col("n_bytes") >= length).groupBy("id").agg(F.collect_set("h").alias("whole"))
+    cuts = scratch.keep(merged(found).join(whole, "id", "full"), "cuts")
+    size = cuts.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("lo"), F.lit(0))).alias("runs")).first()
+    few = 80 * size["n"] + 8 * (size["runs"] or 0) <= BROADCAST_BYTES
+    touched = rows.join(F.broadcast(cuts) if few else cuts, "id", "left")
+    # a whole copy is one run; only the others are looked at for runs inside
+    gone = F.coalesce(F.array_contains("whole", F.col("h")), F.lit(False))
+    n = F.octet_length("text").cast("int")
+    touched = touched.select("id", "text", F.when(gone, F.array(F.lit(0))).otherwise(F.col("lo")).alias("lo"), F.when(gone, F.array(n)).otherwise(F.col("hi")).alias("hi"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offset = bytes_of(b.column("text"))
-            out = []
+            whole, lo, hi, kept = data.tobytes(), [], [], []
             for i, (los, his) in enumerate(zip(b.column("lo").to_pylist(), b.column("hi").to_pylist())):
-                raw = data[offset[i] : offset[i + 1]].tobytes()
+                raw = whole[offset[i] : offset[i + 1]]
                 # a row with the same id and a shorter text has fewer bytes to lose
-                runs = [(x, min(y, len(raw))) for x, y in zip(los, his) if x < len(raw)]
-                kept = [raw[x:y] for x, y in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(raw)])]
-                out.append((sum(y - x for x, y in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), hashlib.sha256(raw).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array([x[j] for x in out], pa.string() if j > 1 else pa.int64()) for j in range(4)]], names=["id", "n_removed", "n_spans", "kept_sha256", "sha"])
-
-    changed = touched.select("id", "text", "lo", "hi").mapInArrow(take, "id long, n_removed long, n_spans long, kept_sha256 string, sha string")
-    changed = scratch.keep(changed, "changed").dropDuplicates(["id", "sha"])
-    gone = copies.distinct().withColumn("copy", F.lit(True))
-    out = base.join(gone, "id", "left").join(changed, ["id", "sha"], "left")
-    whole = F.col("copy").isNotNull() & (F.col("n_bytes") >= length)
-    empty = hashlib.sha256(b"").hexdigest()
-    return out.select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"),
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+                runs = [(x, min(y, len(raw))) for x, y in zip(los or [], his or []) if x < len(raw)]
+                kept.append(b"".join([raw[x:y] for x, y in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(raw)])]))
+                lo.append([x for x, _ in runs])
+                hi.append([y for _, y in runs])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offset)), *[pa.array(x, pa.list_(pa.int32())) for x in (lo, hi)], pa.array(kept, pa.binary())], names=["id", "n_bytes", "lo", "hi", "kept"])
+
+    out = touched.mapInArrow(take, "id long, n_bytes long, lo array<int>, hi array<int>, kept binary")
+    return out.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_bytes", "lo", "hi", "kept")
+
+
+def digests(cut: DataFrame) -> DataFrame:
+    """Per row of cut_out(): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+    return cut.select("doc_id", "n_bytes", removed, F.size("lo").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def dedup(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
+    """The digests of what cut_out() gives."""
+    return digests(cut_out(docs, scratch, length))

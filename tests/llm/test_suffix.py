@@ -47,3 +47,17 @@ def test_odd_rows(odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     assert ran(odd, "o", 100) == brute(rows, 100)
     assert ran(nothing, "n", 100) == []
+
+
+def test_spans_and_kept_bytes(spark):
+    p = "é passage of some length that many documents hold, with its own words, over and over again: yes, indeed, é"
+    rows = [(1, f"one {p} end"), (2, f"two {p} fin {p}"), (3, f"one {p} end"), (4, "short"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.cut_out(df, Scratch(spark, "s"), 100).collect()}
+    raw = {i: (t or "").encode() for i, t in rows}
+    kept = {i: bytes(got[i]["kept"]) for i in got}
+    assert kept == {1: raw[1], 2: raw[2].replace(f" {p} ".encode(), b"").replace(f" {p}".encode(), b""), 3: b"", 4: b"short", 5: b""}
+    for i, r in got.items():
+        gone = [x for lo, hi in zip(r["lo"], r["hi"]) for x in range(lo, hi)]
+        assert bytes(x for k, x in enumerate(raw[i]) if k not in gone) == kept[i]
+    assert (got[3]["lo"], got[3]["hi"]) == ([0], [len(raw[3])])
