@@ -387,6 +387,10 @@ def cut_out(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     copies = scratch.keep(base.join(firsts, "sha").where("id != first").select("id", "h", "n_bytes").distinct(), "copies")
     rows = docs.select(id_, hash_, text.alias("text"))
     own = by_keys(rows, copies, ["id", "h"], "left_anti").where(F.octet_length("text") >= length)
+    again = scratch.keep(base.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h"), "again")
+    if not again.isEmpty():
+        once = by_keys(own, again, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+        own = by_keys(own, again, ["id", "h"], "left_anti").unionByName(once)
     found = scratch.keep(repeats(own.drop("h"), scratch, length), "found")
     whole = copies.where(F.col("n_bytes") >= length).groupBy("id").agg(F.collect_set("h").alias("whole"))
     cuts = scratch.keep(merged(found).join(whole, "id", "full"), "cuts")

@@ -49,6 +49,13 @@ def test_odd_rows(odd, nothing):
     assert ran(nothing, "n", 100) == []
 
 
+def test_one_row_of_those_that_repeat_stays(spark):
+    a, b = "".join(f"{i} little ducks, " for i in range(40)), "".join(f"{i} large geese; " for i in range(40))
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, b), (3, "another text of the same id " * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ran(df, "r", 100) == brute(rows, 100)
+
+
 def test_spans_and_kept_bytes(spark):
     p = "é passage of some length that many documents hold, with its own words, over and over again: yes, indeed, é"
     rows = [(1, f"one {p} end"), (2, f"two {p} fin {p}"), (3, f"one {p} end"), (4, "short"), (5, None)]
