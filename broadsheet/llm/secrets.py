@@ -1,4 +1,8 @@
-"""Secret scans: fixed patterns, and literals that a lexer finds assigned to sensitive names."""
+"""Secret scans: fixed patterns, and literals that a lexer finds assigned to sensitive names.
+
+The lexer reads assignments (also with types, in chains, of subscripts, over lines in parentheses or after a plus or backslash), entries of
+mappings, indented blocks, and markup elements and entries.
+"""
 
 from __future__ import annotations
 
@@ -30,21 +34,28 @@ SENSITIVE = {
 }
 #: A literal is a secret when the score of its name and of its own form comes to this.
 ENOUGH = 4
-#: Names of constants that one document's lexer remembers values of, and steps along a chain of names.
-CHAIN = 16
-
-_TOKEN = re.compile(
-    r"""
-    (?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
-  | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
-  | (?P<op>:=|=>|==|!=|<=|>=|[=:+])
-  | (?P<bare>[A-Za-z0-9/_~][A-Za-z0-9/_.~+=-]*)
-  | (?P<gap>[\x20\t]+)
-  | (?P<other>[^\n])
-    """,
-    re.VERBOSE | re.ASCII,
-)
-_SIGN = re.compile(r"[A-Za-z0-9_\"'\]][\x20\t]*(?::=|=>|[=:])[\x20\t]*[A-Za-z0-9\"'/_~]")
+
+#: Before a value: a sign that isn't part of a comparison, arrow or path.
+_SIGN = re.compile(r":=|=>|(?<![=!<>:+*/%&|^-])=(?![=>~])|(?<!:):(?![:=])")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*", re.ASCII)
+#: Where an unquoted value ends.
+_STOP = re.compile(r"[\s\"'`,;(){}\[\]<>]")
+_GAP, _WIDE_GAP = re.compile(r"(?:[\x20\t]|\\\n)*"), re.compile(r"(?:\s|\\\n)*")
+_STRINGS = {
+    "'": re.compile(r"'((?:\\.|[^'\\\n])*)'", re.DOTALL),
+    '"': re.compile(r'"((?:\\.|[^"\\\n])*)"', re.DOTALL),
+    "`": re.compile(r"`((?:\\.|[^`\\])*)`", re.DOTALL),
+    3 * "'": re.compile(r"'{3}((?:\\.|[^'\\]|'(?!''))*)'{3}", re.DOTALL),
+    3 * '"': re.compile(r'"{3}((?:\\.|[^"\\]|"(?!""))*)"{3}', re.DOTALL),
+}
+_PREFIX = re.compile(r"[bfruBFRU]{1,2}(?=[\"'])")
+_AGAIN = re.compile(r"(?:\[[^\]\n]*\])?[\x20\t]+=(?=[\x20\t])|(?:\[[^\]\n]*\])?=(?=[\"'])")
+#: A string or word that only stands for a constant.
+_REFERENCE = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|\(([A-Za-z_]\w*)\)|([A-Za-z_]\w*))", re.ASCII)
+_BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[0-9]?[+-]?[\x20\t]*\n")
+_BELOW = re.compile(r"[\x20\t]*\n([\x20\t]+)([\"']?)([^\s:\"'#][^\s\"']*)\2[\x20\t]*(?=\n|\Z)")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>")
+_ENTRY = re.compile(r"<[^<>]*?\b(?:key|name|id)\s*=\s*([\"'])([^\"'<>]*)\1[^<>]*?\bvalue\s*=\s*([\"'])([^\"'<>]*)\3")
 _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -67,70 +78,226 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p, 0) for p in dict.fromkeys(parts + joined))
 
 
-def value_score(value: str) -> int:
-    """How far a literal's form is that of a secret: long enough, of mixed characters, not a plain word."""
-    if len(value) < 8 or any(c.isspace() for c in value) or len(set(value)) < 5:
+def value_score(counts: Counter) -> int:
+    """How far a literal's form is that of a secret, by its characters: long enough, of mixed ones, not a plain word."""
+    n = counts.total()
+    if n < 8 or len(counts) < 5 or any(c.isspace() for c in counts):
         return 0
-    kinds = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    said = "".join(counts)
+    kinds = sum(bool(re.search(x, said)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
     return (kinds >= 2) + (kinds >= 3) + (bits >= 3.0) + (n >= 16 and bits >= 3.5)
 
 
-def assignments(line: str, at: int) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(name, parts of its value) of each assignment in a line; a part is (type, value, start, end), joined by +."""
-    tokens = [(m.lastgroup, m.group(), at + m.start(), at + m.end()) for m in _TOKEN.finditer(line) if m.lastgroup != "gap"]
-    out = []
-    for i, (kind, said, _, _) in enumerate(tokens):
-        if kind != "op" or said not in ("=", ":", ":=", "=>") or not i or tokens[i - 1][0] not in ("name", "string"):
-            continue
-        name = tokens[i - 1][1].strip("\"'")
-        parts, j = [], i + 1
-        while j < len(tokens) and tokens[j][0] in ("string", "name", "bare"):
-            t, v, a, b = tokens[j]
-            if t == "string":
-                v, a, b = v[1:-1], a + 1, b - 1
-            elif j + 1 < len(tokens) and tokens[j + 1][0] in ("bare", "name", "op") and tokens[j + 1][2] == b and tokens[j + 1][1][0] not in ":+":
-                # an unquoted value goes on to the next gap
-                while j + 1 < len(tokens) and tokens[j + 1][0] in ("bare", "name", "op") and tokens[j + 1][2] == b:
-                    j, v, b = j + 1, v + tokens[j + 1][1], tokens[j + 1][3]
-                t = "bare"
-            parts.append((t, v, a, b))
-            if j + 1 < len(tokens) and tokens[j + 1][1] == "+":
-                j += 2
+def target(text: str, end: int) -> str | None:
+    """The name that stands before a sign at end: a (dotted) name, a quoted key, or the key of the last subscript."""
+    i = end
+    while i and text[i - 1] in " \t":
+        i -= 1
+    if i and text[i - 1] == "]":
+        i -= 1
+    if i and text[i - 1] in "\"'":
+        start = text.rfind(text[i - 1], text.rfind("\n", 0, i) + 1, i - 1)
+        return text[start + 1 : i - 1] if start >= 0 else None
+    stop = i
+    while i and (text[i - 1].isascii() and text[i - 1].isalnum() or text[i - 1] in "_.-"):
+        i -= 1
+    m = _NAME.search(text, i, stop)
+    return m.group() if m and m.end() == stop else None
+
+
+class Values:
+    """Reads the value after each sign of a text, the last sign first, so that each stretch of text is gone through once.
+
+    A value is a list of parts: ("text", start, end) of a literal, ("name", name, start, end), ("sign", place) for the value
+    after a later sign (`a = b = "x"`, `a: str = "x"`), or ("?",) for what can't be known, such as a call.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.ahead, self.stop, self.counts = text, len(text), len(text), Counter()
+        self.scores: dict[tuple[int, int], int] = {}  # of unquoted values
+
+    def word_end(self, i: int) -> int:
+        """Where the unquoted value from i on ends; its score is noted. Values that end alike are summed up from the last to the first."""
+        text = self.text
+        if i < self.ahead and (m := _STOP.search(text, i, self.ahead)):
+            self.stop, self.counts = m.start(), Counter(text[i : m.start()])
+        elif i < self.ahead and self.stop >= self.ahead:
+            self.counts.update(text[i : self.ahead])
+        else:
+            m = _STOP.search(text, i)
+            self.stop = m.start() if m else len(text)
+            self.counts = Counter(text[i : self.stop])
+        self.ahead, end, counts = i, self.stop, self.counts
+        if end > i and text[end - 1] == "." and not text[end : end + 1].strip():  # the end of a sentence
+            end, counts = end - 1, counts - Counter(".")
+        self.scores[i, end] = value_score(counts)
+        return end
+
+    def after(self, sign: re.Match) -> list[tuple]:
+        text, i = self.text, sign.end()
+        if sign.group() == ":":
+            line = text.rfind("\n", 0, i) + 1
+            indent = len(text[line:i]) - len(text[line:i].lstrip(" \t-"))
+            if m := _BLOCK.match(text, i):
+                return self.block(m.end(), indent)
+            if (m := _BELOW.match(text, i)) and len(m[1]) > indent:
+                return [("text", m.start(3), m.end(3))]
+        parts, deep = [], 0
+        gap = _GAP
+        while True:
+            i = gap.match(text, i).end()
+            c = text[i : i + 1]
+            if c == "(":
+                i, deep, gap = i + 1, deep + 1, _WIDE_GAP
+                continue
+            i = m.end() if (m := _PREFIX.match(text, i)) else i
+            c = text[i : i + 1]
+            if c and c in "\"'`":
+                m = next((m for q in (3 * c, c) if q in _STRINGS and (m := _STRINGS[q].match(text, i))), None)
+                if m is None:
+                    return parts
+                parts.append(self.named(m.start(1), m.end(1)))
+                i = m.end()
+                quoted = True
             else:
-                break
-        if parts:
-            out.append((name, parts))
-    return out
+                end, quoted = self.word_end(i), False
+                if end == i or text[i] in "+=:|>":
+                    return parts if deep or parts else [("?",)]
+                m = _NAME.match(text, i)
+                if m and (x := _AGAIN.match(text, m.end())):
+                    return [*parts, ("sign", x.end() - 1)]
+                if text[end : end + 1] in ("(", "["):
+                    return [*parts, ("?",)]
+                if m and text[m.end() : m.end() + 1] == "+" and text.find("=", i, end) < 0 and all(_NAME.fullmatch(w) for w in text[i:end].split("+")):
+                    for w in text[i:end].split("+"):
+                        parts.append(("name", w, i, i + len(w)))
+                        i += len(w) + 1
+                else:
+                    parts.append(self.named(i, end, bare=True))
+                i = end
+            while True:
+                i = (_WIDE_GAP if deep else _GAP).match(text, i).end()
+                if text[i : i + 1] != ")" or not deep:
+                    break
+                i, deep = i + 1, deep - 1
+            c = text[i : i + 1]
+            if c == "+" and text[i + 1 : i + 2] != "=":
+                i, gap = i + 1, _WIDE_GAP
+            elif not (quoted and c and c in "\"'" or quoted and _PREFIX.match(text, i)):
+                return parts
+
+    def named(self, start: int, end: int, bare: bool = False) -> tuple:
+        if m := _REFERENCE.fullmatch(self.text, start, end):
+            return ("name", m[1] or m[2] or m[3], start, end)
+        return ("name", self.text[start:end], start, end) if bare and _NAME.fullmatch(self.text, start, end) else ("text", start, end)
+
+    def block(self, i: int, indent: int) -> list[tuple]:
+        """The lines of an indented block, without the marks that open and close keys."""
+        text, parts = self.text, []
+        while i < len(text):
+            end = text.find("\n", i)
+            end = len(text) if end < 0 else end
+            line = text[i:end]
+            bare = line.strip()
+            if bare:
+                start = i + len(line) - len(line.lstrip())
+                if start - i <= indent:
+                    break
+                if not bare.startswith("-----"):
+                    parts.append(("text", start, start + len(bare)))
+            i = end + 1
+        return parts
+
+
+def pairs_of(text: str) -> tuple[list[tuple[int, str, list[tuple]]], dict[tuple[int, int], int]]:
+    """(place, name, value) of each assignment, entry and element, in order; and the scores of unquoted values."""
+    read, out = Values(text), []
+    for sign in reversed(list(_SIGN.finditer(text))):
+        name = target(text, sign.start())
+        if name is not None and text[sign.end() : sign.end() + 2] != "//":
+            out.append((sign.start(), name, read.after(sign)))
+    if "</" in text:
+        out += [(m.start(), m[1], [("text", m.start(2), m.end(2))]) for m in _ELEMENT.finditer(text)]
+    if "value" in text and "<" in text:
+        out += [(m.start(), m[2], [("text", m.start(4), m.end(4))]) for m in _ENTRY.finditer(text)]
+    out.sort(key=lambda x: x[0])
+    return out, read.scores
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals whose target names and own form score high, also where a constant carries the literal to the name."""
-    known: dict[str, list[tuple[str, str, int, int]]] = {}
-    found: set[tuple[int, int]] = set()
-    if not _SIGN.search(text):
+    """Literals whose target names and own form score high, also where constants carry the literal to the name.
+
+    A name stands for what it was last given, in the order of the text; what can't be known, as of a call, ends that.
+    A value's literals are the different spans that it is made of, however many names or steps there are.
+    """
+    low = text.lower()
+    if not any(w in low for w in SENSITIVE) or not _SIGN.search(text) and "</" not in text:
         return []
-    at = 0
-    for line in text.split("\n"):
-        if ("=" in line or ":" in line) and _SIGN.search(line):
-            for name, parts in assignments(line, at):
-                value, todo = [], [(p, 0) for p in reversed(parts)]
-                while todo:  # names stand for the literals that they were given
-                    p, deep = todo.pop()
-                    if p[0] == "name" and p[1] in known and deep < CHAIN:
-                        todo += [(q, deep + 1) for q in reversed(known[p[1]])]
-                    else:
-                        value.append(p)
-                literals = [p for p in value if p[0] != "name" or re.search("[0-9]", p[1])]
-                if all(p[0] != "name" for p in value):
-                    known[name] = value[:CHAIN]
-                score = name_score(name)
-                if score and literals:
-                    whole = value_score("".join(p[1] for p in literals))
-                    if whole >= 2 and score + whole >= ENOUGH:
-                        found.update((p[2], p[3]) for p in literals if p[3] > p[2])
-        at += len(line) + 1
+    pairs, scores = pairs_of(text)
+    at = {place: k for k, (place, _, _) in enumerate(pairs)}
+    # what each value refers to: literals, and other values by number (those given before, or after a later sign)
+    given: dict[str, int] = {}
+    made: list[list | None] = [None] * len(pairs)
+    whole = [False] * len(pairs)
+
+    def referred(k: int) -> list:
+        """A value by its number, or itself if it is short, so that chains of names don't get longer."""
+        return made[k] if len(made[k]) < 8 else [k]
+
+    for k, (_, name, _) in enumerate(pairs):
+        chain, last = [], k
+        while last is not None and made[last] is None:  # a value is made of what names are before it is given to any
+            chain.append(last)
+            made[last] = []
+            parts = pairs[last][2]
+            last = at.get(parts[-1][1]) if parts and parts[-1][0] == "sign" else None
+        for x in reversed(chain):
+            parts, refs = pairs[x][2], made[x]
+            whole[x] = bool(parts)
+            for p in parts:
+                if p[0] == "text":
+                    refs.append((p[1], p[2]))
+                elif p[0] == "sign" and p[1] in at:
+                    refs += referred(at[p[1]])
+                    whole[x] &= whole[at[p[1]]]
+                elif p[0] == "name" and p[1] in given:
+                    refs += referred(given[p[1]])
+                elif p[0] == "name" and re.search("[0-9]", p[1]):
+                    refs.append((p[2], p[3]))  # an unquoted value
+                else:
+                    whole[x] = False
+        if whole[k]:
+            given[name] = k
+        else:
+            given.pop(name, None)
+    found: set[tuple[int, int]] = set()
+    forms: dict[int, tuple[int, list]] = {}  # of the values that others refer to: score and literals
+
+    def form(refs: list) -> tuple[int, list]:
+        if len(refs) == 1 and refs[0] in scores:
+            return scores[refs[0]], refs
+        if len(refs) == 1 and refs[0] in forms:
+            return forms[refs[0]]
+        literals, seen, todo = {}, set(), list(reversed(refs))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                literals[x] = None
+            elif x not in seen:
+                seen.add(x)
+                todo += reversed(made[x])
+        out = value_score(Counter("".join([text[a:b] for a, b in literals]))), list(literals)
+        if len(refs) == 1:
+            forms[refs[0]] = out
+        return out
+
+    for (_, name, _), refs in zip(pairs, made):
+        score = name_score(name)
+        if score and refs:
+            value, literals = form(refs)
+            if value >= 2 and score + value >= ENOUGH:
+                found.update(x for x in literals if x[1] > x[0])
     return [(a, b, "named") for a, b in sorted(found)]
 
 
@@ -139,11 +306,13 @@ def scan(docs: DataFrame, keep: list[str], redact: str | None = None) -> DataFra
 
     Spans come by start, then kind as listed in KINDS; code points, end exclusive. With redact, every span of the text is
     replaced by that string, spans that overlap or touch as one. Null texts count as empty (and stay null if redacted). The work is
-    local to a row and takes whole texts; row order and repeated rows stay as they are.
+    local to a row and takes whole texts; row order and repeated rows stay as they are. A new column whose name is in keep gets an
+    underscore at its end. An empty table gives no rows.
     """
+    new = [n + "_" * (n in keep) for n in ("kinds", "starts", "ends", "clean")]
     read = docs.select(*keep, *([] if "text" in keep else ["text"]))
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{cols}, kinds array<string>, starts array<int>, ends array<int>" + (", clean string" if redact is not None else "")
+    schema = f"{cols}, {new[0]} array<string>, {new[1]} array<int>, {new[2]} array<int>" + (f", {new[3]} string" if redact is not None else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,10 +325,10 @@ def scan(docs: DataFrame, keep: list[str], redact: str | None = None) -> DataFra
                     clean.append(text if not spans else mask(t, spans, redact))
             arrays = [b.column(c) for c in keep]
             arrays += [pa.array([[x[2] for x in s] for s in all_spans], pa.list_(pa.string())), pa.array([[x[0] for x in s] for s in all_spans], pa.list_(pa.int32())), pa.array([[x[1] for x in s] for s in all_spans], pa.list_(pa.int32()))]
-            names = [*keep, "kinds", "starts", "ends"]
+            names = [*keep, *new[:3]]
             if redact is not None:
                 arrays.append(pa.array(clean, pa.string()))
-                names.append("clean")
+                names.append(new[3])
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return read.mapInArrow(run, schema)
