@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Characters of text whose words are looked up together, and words whose encodings a worker remembers.
 CHARS, WORDS = 4_000_000, 300_000
@@ -227,17 +226,20 @@ def small_groups(texts: list[str | None], chars: int = CHARS) -> Iterator[list[s
 
 
 def coder(spec: Broadcast, make: Callable[[str], object] = Coder):
-    kept = worker_cache()
-    if getattr(kept, "spec", None) != (make.__name__, len(spec.value)):
-        kept.spec, kept.coder = (make.__name__, len(spec.value)), make(spec.value)
+    """What make() gives for a tokenizer file; a worker keeps the last one, known by the file's contents."""
+    kept, key = worker_cache(), (make.__name__, hashlib.sha256(spec.value.encode()).digest())
+    if getattr(kept, "spec", None) != key:
+        kept.spec, kept.coder = key, make(spec.value)
     return kept.coder
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
     """Per row: the id, ids array<int> of the whole text's encoding, and decoded, the text that these ids stand for.
 
     path: a tokenizer's file of the kind with word ends, on the driver, which sends its contents to the workers (their size is
-    fixed by the vocabulary). Null texts count as empty. Row order and repeated rows stay; other columns are not read.
+    fixed by the vocabulary). Null texts count as empty. Row order and repeated rows stay; other columns are not read. An empty table
+    gives no rows. then: what to make of each batch of these rows in the same worker, of columns as schema says beside the
+    id, for those who need something of the tokens rather than all of them.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
 
@@ -249,28 +251,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 ids, said = zip(*made.batch(group))
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(group)), tokens, pa.array(said, pa.string())], names=[id_col, "ids", "decoded"])
+                out = pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(group)), tokens, pa.array(said, pa.string())], names=[id_col, "ids", "decoded"])
+                yield out if then is None else then(out)
                 at += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, {schema or 'ids array<int>, decoded string'}")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row of encode(): the id, n_tokens, ids_sha256 (of 32-bit little-endian integers), decoded_sha256."""
+def digests(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Of rows of encode(): the id, n_tokens, ids_sha256 (of 32-bit little-endian integers), decoded_sha256."""
+    ends = b.column("ids").offsets.to_numpy()
+    flat = b.column("ids").values.to_numpy().astype("<i4", copy=False)
+    shas = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]
+    said = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("decoded")]
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(shas, pa.string()), pa.array(said, pa.string())], names=[b.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends = b.column("ids").offsets.to_numpy()
-            flat = b.column("ids").values.to_numpy().astype("<i4", copy=False)
-            shas = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.diff(ends), pa.int64()), pa.array(shas, pa.string()), b.column("decoded_sha256")], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    said = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    return encoded.select(id_col, "ids", said).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The digests of what encode() gives."""
-    return digests(encode(docs, path, id_col), id_col)
+    """The digests of what encode() gives; an empty table gives no rows."""
+    return encode(docs, path, id_col, digests, DIGESTS)

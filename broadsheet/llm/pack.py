@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, small_groups, worker_cache
+from .bpe import byte_letters, coder, small_groups
 from .common import Scratch, running
 
 # The word pattern of the byte-level vocabulary's pre-tokenizer.
@@ -44,13 +44,11 @@ def tokenized(docs: DataFrame, spec: Broadcast, capacity: int) -> DataFrame:
     """Per row: doc_id, head (length of the first piece, from 1 to capacity), full (pieces of capacity after it), ids of all pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()
-        if getattr(kept, "packer", None) is None:
-            kept.packer = Encoder(spec.value)
+        packer = coder(spec, Encoder)
         for b in batches:
             at = 0
             for texts in small_groups(b.column("text").to_pylist()):
-                ids = [np.append(kept.packer.ids(t), np.uint32(END_ID)).astype(np.int32) for t in texts]
+                ids = [np.append(packer.ids(t), np.uint32(END_ID)).astype(np.int32) for t in texts]
                 n = np.array([len(x) for x in ids], np.int64)
                 ends = pa.array(np.cumsum(np.append(0, n)).astype(np.int32))
                 head = (n - 1) % capacity + 1

@@ -62,9 +62,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_trie_bpe")
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # written, so that a worker either encodes or digests
-    encoded = Scratch(spark, "op2").keep(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "encoded", compression="zstd")
-    return bpe.digests(encoded)
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), then=bpe.digests, schema=bpe.DIGESTS)
 
 
 @query("op3_minimax_shards")

@@ -51,6 +51,25 @@ def test_operator(spark, odd, nothing, corpus, library):
     assert bpe.encode_digests(nothing, WORD).count() == 0
 
 
+def test_two_files_in_one_session(spark, tmp_path):
+    """A worker tells tokenizers apart by what is in them."""
+    import json
+
+    docs = spark.createDataFrame([(1, "the of and the")], "doc_id long, text string").coalesce(1)
+    for name, operator, path in (("words", lambda p, s: bpe.encode(docs, p), WORD), ("bytes", lambda p, s: pack.pack(docs, s, p), BYTE)):
+        from broadsheet.llm.common import Scratch
+
+        spec = json.load(open(path))
+        vocab = spec["model"]["vocab"]
+        one, two = ("the</w>", "of</w>") if name == "words" else ("the", "Ġof")
+        vocab[one], vocab[two] = vocab[two], vocab[one]
+        other = tmp_path / f"{name}.json"
+        other.write_text(json.dumps(spec))
+        for p in (path, str(other), path):
+            want = Tokenizer.from_file(p).encode("the of and the", add_special_tokens=False).ids
+            assert operator(p, Scratch(spark, name)).first()["ids"][: len(want)] == want
+
+
 def check_packed(docs, rows, capacity=1024):
     t = Tokenizer.from_file(BYTE)
     pieces, total = [], 0
