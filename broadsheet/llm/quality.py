@@ -100,7 +100,7 @@ def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, lin
     The source text is read once, and split into lines once. A line's texts are counted from partial sums. A host's
     common lines meet its rows by a broadcast if they are few; else each text's own ones by a join.
     """
-    base = scratch.keep(measure(docs, columns), "base")
+    base = scratch.keep(measure(docs, columns), "base", compression="zstd")
     host = F.coalesce("source", F.lit("")).alias("host")
     texts = base.select(host, "key", "lines")
     lines = texts.select("host", "key", F.explode("lines").alias("x")).select("host", "key", "x.line")
