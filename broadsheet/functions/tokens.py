@@ -56,15 +56,21 @@ def short_lexeme_of(info: Column, script: Script = CYRILLIC) -> Column:
     return F.regexp_extract(info, f"(?s)^(.{script.short_lexeme}*)", 1)
 
 
-def symbol(form: Column, info: Column, script: Script = CYRILLIC) -> Column:
-    """What a token is in its sample's sequence: the form, the lexeme, or * for what isn't the target's language."""
-    pos = pos_of(info)
-    return F.when(~form.rlike(script.own), "*").when(pos.isNull() & ~form.rlike(script.foreign), form).when(pos.isNull(), "*").when(pos.isin(*FUNCTION_POS), form).otherwise(lexeme_of(info, script))
+def symbol(form: Column, info: Column, script: Script = CYRILLIC, pos: Column | None = None, lexeme: Column | None = None) -> Column:
+    """What a token is in its sample's sequence: the form, the lexeme, or * for what isn't the target's language.
 
+    pos, lexeme: columns that hold them already."""
+    pos = pos_of(info) if pos is None else pos
+    lexeme = lexeme_of(info, script) if lexeme is None else lexeme
+    return F.when(~form.rlike(script.own), "*").when(pos.isNull() & ~form.rlike(script.foreign), form).when(pos.isNull(), "*").when(pos.isin(*FUNCTION_POS), form).otherwise(lexeme)
 
-def marks(form: Column, info: Column, script: Script = CYRILLIC) -> Column:
-    """array<string>: the features that a token adds one to; those with % in their name are shares later on."""
-    pos, lexeme = pos_of(info), lexeme_of(info, script)
+
+def marks(form: Column, info: Column, script: Script = CYRILLIC, pos: Column | None = None, lexeme: Column | None = None) -> Column:
+    """array<string>: the features that a token adds one to; those with % in their name are shares later on.
+
+    pos, lexeme: columns that hold them already."""
+    pos = pos_of(info) if pos is None else pos
+    lexeme = lexeme_of(info, script) if lexeme is None else lexeme
     own, content = form.rlike(script.own), ~pos.isin(*FUNCTION_POS)
     person = F.lit(False)
     for p in script.persons:

@@ -51,14 +51,17 @@ def own_links_needed(tree: DataFrame) -> DataFrame:
     return out.select("category", ((F.col("links_count") > 0) & (F.col("links_count") > F.col("sub"))).alias("read_own"), (F.col("links_count") > MORE_ORDERS_OVER).alias("more_orders"))
 
 
-def walk(tree: DataFrame, depth: int = 64) -> DataFrame:
-    """category, path, level from the roots down, by joins of one level with the next; ends when a level is empty."""
-    level = tree.where("parent is null").select("category", F.col("category").alias("path"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth):
-        up = level.select(F.col("category").alias("parent"), "path")
-        level = tree.join(up, "parent").select("category", F.concat_ws("/", "path", "category").alias("path"), F.lit(k).alias("level"))
-        if level.isEmpty():
-            break
+def walk(tree: DataFrame) -> DataFrame:
+    """category, path, level from the roots down, by joins of one level with the next; ends when a level is empty.
+
+    A path doesn't come to a category twice, so a cycle ends there.
+    """
+    level = tree.where("parent is null").select("category", F.col("category").alias("path"), F.array("category").alias("seen"), F.lit(0).alias("level"))
+    out, k = level, 0
+    while not level.isEmpty():
+        k += 1
+        up = level.select(F.col("category").alias("parent"), "path", "seen")
+        level = tree.join(up, "parent").where(~F.array_contains("seen", F.col("category")))
+        level = level.select("category", F.concat_ws("/", "path", "category").alias("path"), F.array_append("seen", F.col("category")).alias("seen"), F.lit(k).alias("level"))
         out = out.unionByName(level)
-    return out
+    return out.drop("seen")

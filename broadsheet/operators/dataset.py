@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Label and share of test rows by origin, and whether its training rows make the vocabulary.
 POLICY = [("wiki-ads", 1, 1.0, False), ("web-ads", 1, 0.0, True), ("non-ads", 0, 0.4, True)]
 SHARDS, FOLDS = 8, 3
+#: Rows of a range in which rows are ranked.
+CELL_ROWS = 4096
 
 
 def policy(spark) -> DataFrame:
@@ -25,7 +27,8 @@ def exact_split(rows: DataFrame, key: str, origin: str, share: float | None = No
             raise ValueError("a share is under a half, or 1")
         rows = rows.withColumn("test_share", F.lit(float(share)))
     h = F.md5(F.col(key).cast("string"))
-    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, 3))
+    digits = max(3, len(f"{rows.count() // CELL_ROWS:x}"))  # ranges get narrower as rows get more
+    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, digits))
     cells = rows.groupBy(origin, "cell_").agg(F.count("*").alias("c_"))
     w = Window.partitionBy(origin).orderBy("cell_")
     cells = cells.select(origin, "cell_", (F.sum("c_").over(w) - F.col("c_")).alias("before_"), F.sum("c_").over(Window.partitionBy(origin)).alias("n_"))
@@ -36,11 +39,17 @@ def exact_split(rows: DataFrame, key: str, origin: str, share: float | None = No
 
 
 def round_robin(rows: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
-    """rows with shard: in turn by the order of the key. The row's number is its rank in a range plus the rows of earlier ranges."""
-    ranged = rows.select(key).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    cell = F.floor(F.col(key) / 4096)  # keys are integers: at most so many in a cell
-    cells = ranged.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))
-    upper = cells.withColumn("top", F.floor(F.col("cell") / 4096))
+    """rows with shard: in turn by the order of the key, an integer. A row's number is its rank in its range plus the rows of earlier ranges.
+
+    Ranges are equal cuts of the key from its smallest to its largest value, so many that one has CELL_ROWS rows of evenly
+    spread keys; their counts are summed up in groups of CELL_ROWS ranges, and only one row a group meets in one place.
+    """
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    low = float(ends["low"] or 0)
+    width = max(1.0, (float(ends["high"] or 0) - low) / max(1, ends["n"] // CELL_ROWS))
+    cell = F.floor((F.col(key).cast("double") - low) / width)
+    cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))
+    upper = cells.withColumn("top", F.floor(F.col("cell") / CELL_ROWS))
     tops = upper.groupBy("top").agg(F.sum("c").alias("t"))
     tops = tops.select("top", (F.sum("t").over(Window.orderBy("top")) - F.col("t")).alias("t0"))
     w = Window.partitionBy("top").orderBy("cell")
@@ -65,9 +74,9 @@ def shuffled(rows: DataFrame, seed: int = 1) -> DataFrame:
     return rows.orderBy(F.rand(seed))
 
 
-def latest(runs: DataFrame, by: str) -> DataFrame:
-    """The newest run: a top-1 by task, no full sort."""
-    return runs.orderBy(F.desc(by)).limit(1)
+def latest(runs: DataFrame, *by: str) -> DataFrame:
+    """The newest run: a top-1 by task, no full sort. Further columns say which of runs at the same time, the largest first."""
+    return runs.orderBy(*[F.desc(c) for c in by]).limit(1)
 
 
 def last_text(rows: DataFrame, title: str, text: str, seq: str) -> DataFrame:

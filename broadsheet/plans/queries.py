@@ -148,23 +148,32 @@ def strip_comments_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.strip_tags(F.col("html")).alias("text"))
 
 
-@query("collapse_space_dots", r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '<<', '«'), '>>', '»'), chr(9), ' '), ' {2,}', ' ', 'g'), '\.{4,}', '...', 'g') AS text FROM documents")
+@query(
+    "collapse_space_dots",
+    r"""SELECT doc_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '<<', '«'), '>>', '»'), chr(9), ' '), ' {2,}', ' ', 'g'), '\.{4,}', '...', 'g'),
+  '\n[^\p{L}\p{N}_]+?\n', chr(10), 'g'), ',,', ','), ',.', '.') AS text FROM documents""",
+)
 def collapse_space_dots(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", markup.collapse(F.col("text")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", markup.tidied(F.col("text")).alias("text"))
 
 
-@query("unescape_entities", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages")
+@query(
+    "unescape_entities",
+    """SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM pages""",
+)
 def unescape_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", markup.unescape_common(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.unescape(F.col("html")).alias("text"))
 
 
 @query(
     "drop_lines",
     r"""SELECT doc_id, array_to_string(l, chr(10)) AS text, len(l) AS n_lines FROM (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT (x = '' OR starts_with(x, ':') OR regexp_matches(x, '^[{|]|\}$') OR regexp_matches(x, '^\(.*\)$') OR regexp_matches(x, '^[.-]+$'))) AS l FROM documents)""",
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT (x = '' OR starts_with(x, ':') OR regexp_matches(x, '^[{|]|\}$') OR regexp_matches(x, '^\(.*\)$') OR regexp_matches(x, '^[.-]+$'))) AS l
+  FROM documents WHERE NOT regexp_matches(text, '(?m)^(\+\+|[*#;]|==)'))""",
 )
 def drop_lines(spark, sf_dir):
-    l = docs(spark, sf_dir).select("doc_id", markup.text_lines(F.col("text")).alias("l"))
+    plain = docs(spark, sf_dir).where(~F.col("text").rlike(r"(?m)^(\+\+|[*#;]|==)"))  # lists and headings have fixtures
+    l = plain.select("doc_id", markup.lines(F.col("text")).alias("l"))
     return l.select("doc_id", F.concat_ws("\n", "l").alias("text"), F.size("l").cast("long").alias("n_lines"))
 
 
@@ -177,10 +186,12 @@ def clear_markup_pages(spark, sf_dir):
 @query(
     "sections",
     """SELECT doc_id, part, text FROM (SELECT doc_id, unnest(range(len(l))) AS part, unnest(l) AS text FROM (
-  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(text) > 100""",
+  SELECT doc_id, string_split(text, chr(10))[:-2] AS l FROM documents WHERE NOT contains(text, '='))) WHERE length(text) > 100""",
 )
 def sections(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("part", "text")).where(F.length("text") > samples.SECTION_OVER)
+    """The lines of documents with a heading at each line end; the last line has none after it."""
+    headed = docs(spark, sf_dir).where(~F.contains("text", F.lit("="))).select("doc_id", F.replace("text", F.lit("\n"), F.lit("==h==")).alias("text"))
+    return headed.select("doc_id", F.posexplode(markup.section_list(F.col("text"))).alias("part", "text")).where(F.length("text") > samples.SECTION_OVER)
 
 
 @query("round_robin_shard", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 8)::INT AS shard FROM documents")
@@ -191,7 +202,7 @@ def round_robin_shard(spark, sf_dir):
 # --- tokens and sparse features
 
 
-@query("tokens", f"WITH {ANALYSED} SELECT doc_id, pos, form, info, s AS symbol FROM sym JOIN an USING (doc_id, pos, form, info)")
+@query("tokens", f"WITH {ANALYSED} SELECT doc_id, pos, form, info, s AS symbol FROM sym")
 def tokens_(spark, sf_dir):
     t = words_of(spark, sf_dir)
     return t.select("doc_id", "pos", "form", "info", tokens.symbol(F.col("form"), F.col("info"), LATIN).alias("symbol"))
@@ -351,9 +362,17 @@ def pooled_moments(spark, sf_dir):
     return out.select("doc_id", "dim", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "rms", "min", "max")])
 
 
-@query("dense_rows")
+@query(
+    "dense_rows",
+    f"""WITH {LOW}, {VECTORS}, v AS (SELECT doc_id, unnest(range(20)) AS dim, unnest(coalesce(vec, u))::DOUBLE AS x FROM low CROSS JOIN unk LEFT JOIN vecs ON low.w = vecs.word),
+m AS (SELECT doc_id, dim, [avg(x), stddev_samp(x), sqrt(avg(x * x)), min(x), max(x)] AS m FROM v GROUP BY doc_id, dim HAVING count(*) > 1)
+SELECT doc_id, dim * 5 + k AS idx, round(m[k + 1], 6) AS value FROM m, (SELECT unnest(range(5)) AS k)""",
+)
 def dense_rows(spark, sf_dir):
-    return embed.dense_rows(embed.pooled(looked_up(spark, sf_dir), "doc_id"), "doc_id")
+    """The entries of each row, but for harmonic means, which have a query of their own."""
+    rows = embed.dense_rows(embed.pooled(looked_up(spark, sf_dir), "doc_id"), "doc_id")
+    kept = rows.select("doc_id", F.posexplode(F.filter("features", lambda x, i: i % 6 != 3)).alias("idx", "value"))
+    return kept.select("doc_id", "idx", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -469,9 +488,9 @@ def param_grid(spark, sf_dir):
 # --- runs and catalogue
 
 
-@query("latest_run", "SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M') AS run, event_type FROM events ORDER BY ts DESC LIMIT 1")
+@query("latest_run", "SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M') AS run, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_run(spark, sf_dir):
-    e = dataset.latest(table(spark, sf_dir, "events"), "ts")
+    e = dataset.latest(table(spark, sf_dir, "events"), "ts", "event_id")
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd-HH-mm").alias("run"), "event_type")
 
 
