@@ -159,7 +159,7 @@ def collapse_space_dots(spark, sf_dir):
 
 @query(
     "unescape_entities",
-    """SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM pages""",
+    """SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS text FROM pages""",
 )
 def unescape_entities(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.unescape(F.col("html")).alias("text"))
@@ -445,6 +445,27 @@ def prf1(spark, sf_dir):
     return model.prf(s, ["source"]).select("source", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(
+    "set_report",
+    f"WITH {SCORED}, p AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM scored), c AS (SELECT part, count(*) FILTER (label = 1 AND probability > 0.1) AS tp, count(*) FILTER (label <> 1 AND probability > 0.1) AS fp, count(*) FILTER (label = 1 AND probability <= 0.1) AS fn FROM p GROUP BY part) SELECT part, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c",
+)
+def set_report(spark, sf_dir):
+    s = scored_of(spark, sf_dir).withColumn("part", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+    return model.set_report(s).select("part", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall")])
+
+
+@query("row_slice", f"WITH {SCORED} SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM scored WHERE label = 1 AND probability <= 0.1)")
+def row_slice(spark, sf_dir):
+    missed = scored_of(spark, sf_dir).where((F.col("label") == 1) & (model.decided(F.col("probability")) == 0))
+    return model.row_slice(docs(spark, sf_dir).select("doc_id", "lang"), missed, "doc_id")
+
+
+@query("label_conflicts", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, quality AS label, (n_chars > 500)::INT AS index_label FROM labels l FULL JOIN documents d USING (doc_id) WHERE quality IS DISTINCT FROM (n_chars > 500)::INT")
+def label_conflicts(spark, sf_dir):
+    index = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") > 500).cast("int").alias("label"))
+    return model.label_conflicts(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), index, "doc_id")
+
+
 @query(
     "threshold_sweep",
     f"WITH {SCORED}, t AS (SELECT unnest(range(1, 10)) / 10.0 AS threshold), c AS (SELECT threshold, count(*) FILTER (label = 1 AND probability > threshold) AS tp, count(*) FILTER (label <> 1 AND probability > threshold) AS fp FROM scored, t GROUP BY threshold) SELECT round(threshold::DOUBLE, 1) AS threshold, tp, fp FROM c",

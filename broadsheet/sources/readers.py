@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "samplesSeparator"
 
 
 def framed(spark: SparkSession, path: str, end: str) -> DataFrame:
-    """value: what stands before each `end` line; compressed files too."""
-    return spark.read.option("lineSep", end + "\n").text(path)
+    """value: what stands before each `end` line; compressed files too. Bytes that aren't UTF-8 raise an error."""
+    return spark.read.option("lineSep", end + "\n").text(path).withColumn("value", F.validate_utf8("value"))
+
+
+def numbered(spark: SparkSession, path: str, end: str = "") -> DataFrame:
+    """value, ordinal of the records that aren't empty, from 0 in the order of file names and of places in a file.
+
+    A record's number is its place in its split of a file plus the records of earlier splits; only one row a split meets in one place.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    rows = spark.read.option("lineSep", end + "\n").text(path).select(F.validate_utf8("value").alias("value"), *[F.col(c).alias(n) for c, n in zip(at, ("file_", "start_"))], F.monotonically_increasing_id().alias("place_"))
+    rows = rows.where("value <> ''")
+    splits = rows.groupBy("file_", "start_").agg(F.count("*").alias("n"))
+    splits = splits.withColumn("before", F.sum("n").over(Window.orderBy("file_", "start_")) - F.col("n"))
+    own = F.row_number().over(Window.partitionBy("file_", "start_").orderBy("place_")) - 1
+    return rows.join(splits, ["file_", "start_"]).select("value", (F.col("before") + own).alias("ordinal"))
 
 
 def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +56,17 @@ def analysed_samples(spark: SparkSession, path: str) -> DataFrame:
     return framed(spark, path, SEPARATOR).select(F.monotonically_increasing_id().alias("sample_id"), F.col("value").alias("lines"))
 
 
+def analysed_records(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, lines of an analyser's output in which any line without a brace ends a sample."""
+    whole = analysed_samples(spark, path)
+    line = whole.select("sample_id", F.posexplode(F.split("lines", "\n")).alias("pos", "line"))
+    ends = ~F.contains("line", F.lit("{"))
+    part = F.sum(ends.cast("int")).over(Window.partitionBy("sample_id").orderBy("pos"))
+    rows = line.withColumn("part", part).where(~ends)
+    out = rows.groupBy("sample_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    return out.select(F.concat_ws("-", F.col("sample_id").cast("string"), F.col("part").cast("string")).alias("sample_id"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("lines"))
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, source; a source may have several lines."""
     return framed(spark, path, SEPARATOR).where("value <> ''").select(F.monotonically_increasing_id().alias("sample_id"), F.regexp_replace("value", r"\n$", "").alias("source"))
@@ -52,18 +77,27 @@ def set_index(spark: SparkSession, path: str) -> DataFrame:
     return framed(spark, path, SEPARATOR).where("value <> ''").select(F.substring_index("value", "\n", 1).cast("int").alias("label"), F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"\n$", "").alias("source"))
 
 
+def set_rows(spark: SparkSession, path: str, label: int) -> DataFrame:
+    """ordinal, source of a matrix's rows of a label."""
+    rows = numbered(spark, path, SEPARATOR)
+    source = F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"\n$", "")
+    return rows.where(F.substring_index("value", "\n", 1).cast("int") == label).select("ordinal", source.alias("source"))
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """feature, idx of name:index lines."""
     line = spark.read.text(path).where("value <> ''")
     return line.select(F.regexp_extract("value", r"^(.*):([0-9]+)$", 1).alias("feature"), F.regexp_extract("value", r"^(.*):([0-9]+)$", 2).cast("int").alias("idx"))
 
 
-def vectors(spark: SparkSession, path: str, size: int = 20) -> DataFrame:
-    """word, vec; each line has to have `size` numbers, and some line the word for unknown ones."""
+def vectors(spark: SparkSession, path: str, size: int = 20, unknown: str | None = None) -> DataFrame:
+    """word, vec, idx (by order of the lines); each has to have `size` numbers, and one of them the word for unknown ones if it is named."""
     parts = F.split("value", " ")
-    line = spark.read.text(path).where("value <> ''")
+    line = numbered(spark, path)
+    if unknown is not None and line.where(F.startswith("value", F.lit(unknown + " "))).isEmpty():
+        raise ValueError(f"no vector of {unknown}")
     vec = F.transform(F.slice(parts, 2, size), lambda x: x.cast("float"))
-    return line.select(F.element_at(parts, 1).alias("word"), F.when(F.size(parts) == size + 1, vec).otherwise(F.raise_error(F.lit(f"a vector hasn't {size} numbers"))).alias("vec"))
+    return line.select(F.element_at(parts, 1).alias("word"), F.when(F.size(parts) == size + 1, vec).otherwise(F.raise_error(F.lit(f"a vector hasn't {size} numbers"))).alias("vec"), F.col("ordinal").alias("idx"))
 
 
 def run_folders(names: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.operators import dataset
+
 from .readers import SEPARATOR
 
 
@@ -24,6 +26,12 @@ def samples(df: DataFrame, path: str, compression: str | None = "bzip2") -> None
     _text(df, F.concat_ws("\n", "title", "text", F.lit(SEPARATOR)), path, compression)
 
 
+def shards(df: DataFrame, path: str, key: str, n: int = dataset.SHARDS, compression: str = "bzip2") -> None:
+    """Samples in n folders, dealt out in turn by the order of the key."""
+    dealt = dataset.round_robin(df, key, n).select("shard", F.concat_ws("\n", "title", "text", F.lit(SEPARATOR)).alias("value"))
+    dealt.repartition("shard").write.mode("overwrite").option("compression", compression).partitionBy("shard").text(path)
+
+
 def index(df: DataFrame, path: str, compression: str | None = None) -> None:
     _text(df, F.concat_ws("\n", "source", F.lit(SEPARATOR)), path, compression)
 
@@ -59,3 +67,20 @@ def packed(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([struct.pack(f"<BI{len(i)}H", x, n, *i) for x, n, i in rows], pa.binary())], names=["record"])
 
     return df.select("label", "len", "ids").mapInArrow(run, "record binary")
+
+
+def packed_corpus(df: DataFrame, path: str) -> None:
+    """The records of packed() as a table of binaries, a row each."""
+    packed(df).write.mode("overwrite").parquet(path)
+
+
+def dense_matrix(df: DataFrame, path: str) -> None:
+    """label, features (array of doubles) with nulls as NaN, which stands for a missing value in the matrix."""
+    missing = F.transform("features", lambda x: F.coalesce(x, F.lit(float("nan"))))
+    df.withColumn("features", missing).write.mode("overwrite").parquet(path)
+
+
+def catalogue(tree: DataFrame, links: DataFrame, path: str) -> None:
+    """A catalogue's tree (category, parent, links_count) and links."""
+    tree.write.mode("overwrite").parquet(f"{path}/tree")
+    links.write.mode("overwrite").parquet(f"{path}/links")
