@@ -9,8 +9,10 @@ from .common import Scratch, normal_space
 
 #: Distinct keys that a bucket may have before its directory entry doubles.
 BUCKET_KEYS = 20_000
-#: The directory never has more than 2 ** MAX_DEPTH entries, so it may be broadcast; fuller buckets chain instead.
-MAX_DEPTH = 14
+#: The directory may have 2 ** MIN_DEPTH entries, or some times as many as buckets of keys are needed, if that is more.
+MIN_DEPTH, SPARE_DEPTH = 14, 3
+#: Entries of a directory that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ENTRIES = 1 << 18
 #: Hashes with more than one row are broadcast up to this count (16 MB), and joined by a shuffle beyond it.
 BROADCAST_KEYS = 2_000_000
 
@@ -19,7 +21,7 @@ def sha_of(text: Column) -> Column:
     return F.sha2(normal_space(text).cast("binary"), 256)
 
 
-def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
+def directory(keys: DataFrame, bucket_keys: int, max_depth: int) -> list[tuple[int, int]]:
     """Per entry (hash prefix of the global depth): the bucket's prefix and local depth.
 
     Grows as insertion would leave it: while a bucket holds too many keys, it splits by the next bit; where its local
@@ -60,12 +62,14 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"))
     rows = scratch.keep(rows.select("id", hash_of("norm").alias("hash"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")), "rows")
     keys = rows.groupBy("hash").agg(F.count("*").alias("n"))
-    entries = directory(keys, bucket_keys)
+    n_keys = keys.count()
+    max_depth = max(MIN_DEPTH, (n_keys // bucket_keys).bit_length() + SPARE_DEPTH)
+    entries = directory(keys, bucket_keys, max_depth)
     depth = len(entries).bit_length() - 1
-    # the directory has 2 ** MAX_DEPTH entries at most
-    look = spark.createDataFrame([(i, p << (MAX_DEPTH - d)) for i, (p, d) in enumerate(entries)], "cell long, bucket long")
+    look = spark.createDataFrame([(i, p << (max_depth - d)) for i, (p, d) in enumerate(entries)], "cell long, bucket long")
+    look = F.broadcast(look) if len(entries) <= BROADCAST_ENTRIES else look
     cell = F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = keys.withColumn("cell", cell).join(F.broadcast(look), "cell").drop("cell")
+    owned = keys.withColumn("cell", cell).join(look, "cell").drop("cell")
     index = scratch.keep(owned.repartition("bucket").sortWithinPartitions("bucket", "hash"), "index")
     chained = scratch.keep(index.where("n > 1").select("hash"), "chained")
     near = F.broadcast(chained) if chained.count() <= BROADCAST_KEYS else chained
@@ -88,11 +92,13 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         member = rows.withColumn("link", F.lit(0))
     else:
         # who stayed behind in a chain has the number of the last one that it went on to
-        others = others.groupBy("id", "hash", "sha").agg(F.max("link").alias("link"))
-        member = rows.join(others, ["id", "hash", "sha"], "left").withColumn("link", F.coalesce("link", F.lit(0)))
+        others = others.groupBy(F.col("id").alias("i"), F.col("hash").alias("h"), F.col("sha").alias("s")).agg(F.max("link").alias("link"))
+        same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & (F.col("sha") == F.col("s"))
+        member = rows.join(others, same, "left").select("id", "hash", "sha", F.coalesce("link", F.lit(0)).alias("link"))
     # rows that repeat in all of this are one row with a count until the end
     member = member.groupBy("id", "hash", "sha", "link").agg(F.count("*").alias("times"))
-    group = member.groupBy("hash", "sha", "link").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size"))
-    out = member.join(group, ["hash", "sha", "link"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # a chain's rows are equal byte by byte, so the key and the chain's number are the group
+    group = member.groupBy("hash", "link").agg(F.min("id").alias("keep_id"), F.sum("times").alias("group_size"))
+    out = member.join(group, ["hash", "link"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", stays.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -21,8 +21,10 @@ from .common import Scratch, by_keys, parts_of
 GRAM = 40
 #: Bytes looked at together, at most unless one document is longer.
 BLOCK = 2_000_000
-#: Buckets of anchors; an owner has whole ones.
-OWNED = 2048
+#: Buckets of anchors: so many, or so many for each partition if that is more; an owner has whole ones.
+OWNED, OWNED_EACH = 2048, 8
+#: The lower bits of a hash make room for a place while anchors are looked for.
+PLACES = (1 << 32) - 1
 #: Marks (24 bytes each) that a join may broadcast; more are joined by a shuffle.
 BROADCAST_MARKS = 1_000_000
 #: Bytes of removed runs that a join may broadcast.
@@ -63,8 +65,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         return none.astype(np.uint64), none, none, none
     h = gram_hashes(data, gram)
     window = length - gram + 1
-    bits = np.uint64(int(len(h)).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64(PLACES)  # the same for all blocks, so that equal strings have equal anchors in any
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size * 2 <= window:
@@ -121,6 +122,8 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
     marked already. So a very common key has a row for each batch.
     """
 
+    owned = max(OWNED, OWNED_EACH * parts)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy()
@@ -143,10 +146,10 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
             known = np.flatnonzero(twice)
             rest = np.setdiff1d(order[new], known, assume_unique=True)
             common = sorted_[new[n > 1]]
-            bucket = (key[rest] % np.uint64(OWNED)).astype(np.int64)
+            bucket = (key[rest] % np.uint64(owned)).astype(np.int64)
             by = np.lexsort((rest, bucket))
             rest, bucket = rest[by], bucket[by]
-            shared = (common % np.uint64(OWNED)).astype(np.int64)
+            shared = (common % np.uint64(owned)).astype(np.int64)
             by = np.argsort(shared, kind="stable")
             common, shared = common[by], shared[by]
             rows = []
@@ -159,7 +162,7 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
             # places that are known already travel as they are
             for at in range(0, len(known), 20_000):
                 r = known[at : at + 20_000]
-                rows.append((-1 - int(at // 20_000 % OWNED), key[r].tobytes(), ids[doc[r]].astype("<i8").tobytes(), b"", first[r].astype("<i4").tobytes(), more[r].tobytes()))
+                rows.append((-1 - int(at // 20_000 % owned), key[r].tobytes(), ids[doc[r]].astype("<i8").tobytes(), b"", first[r].astype("<i4").tobytes(), more[r].tobytes()))
             names = ["bucket", "keys", "ids", "times", "first", "more"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], names=names)
 
@@ -341,7 +344,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     segments = docs.join(by_doc, "id").mapInArrow(cut, "id long, key long, lo int, hi int, piece binary")
     # segments that are done go anywhere; the others to the owner of their key
     owner = F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("key"))
-    segments = segments.withColumn("owner", F.pmod(owner, F.lit(OWNED))).repartition(parts, "owner")
+    segments = segments.withColumn("owner", F.pmod(owner, F.lit(max(OWNED, OWNED_EACH * parts)))).repartition(parts, "owner")
     return segments.drop("owner").mapInArrow(settle, "id long, lo int, hi int")
 
 

@@ -45,6 +45,14 @@ def test_like_brute_force(spark, odd, nothing, corpus, how):
     assert ran(nothing, Scratch(spark, "none")) == []
 
 
+def test_beyond_the_broadcast_bounds(spark, corpus, monkeypatch):
+    for name in ("BROADCAST_KEYS", "BROADCAST_ENTRIES", "MIN_DEPTH"):
+        monkeypatch.setattr(exact, name, 1)
+    rows = [(r["doc_id"], r["text"]) for r in corpus.select("doc_id", "text").collect()] + [(None, "a"), (None, "b"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ran(df, Scratch(spark, "wide"), bucket_keys=5) == brute(rows)
+
+
 def test_directory_doubles_where_it_is_full(spark):
     keys = spark.range(1 << 12).select((F.col("id") * (1 << 40)).alias("hash"))  # all in the lowest prefixes
     entries = exact.directory(keys, bucket_keys=600, max_depth=14)
@@ -52,6 +60,6 @@ def test_directory_doubles_where_it_is_full(spark):
     assert len(entries) == 1 << depth and depth == 14 and {d for _, d in entries} == {*range(1, 13), 14}
     for i, (p, d) in enumerate(entries):
         assert i >> (depth - d) == p
-    assert exact.directory(keys, bucket_keys=10_000) == [(0, 0)]
+    assert exact.directory(keys, bucket_keys=10_000, max_depth=14) == [(0, 0)]
     same = spark.range(1).select(F.lit(5).cast("long").alias("hash"))
-    assert exact.directory(same, bucket_keys=1) == [(0, 0)]
+    assert exact.directory(same, bucket_keys=1, max_depth=14) == [(0, 0)]
