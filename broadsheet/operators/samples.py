@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +38,32 @@ def samples(pages: DataFrame, emit_tail: bool = False) -> DataFrame:
     come before cleaning, which runs once a row. The marker counts in the body only. One narrow stage without a shuffle.
     """
     marker = re.compile(MARKER, re.IGNORECASE)
-    cut = markup.series(lambda t: None if t is None else markup.marked_section(t, marker), "string")
-    split = markup.series(lambda t: markup.sections(t, emit_tail), "array<string>")
+
+    def pieces(origin: str, text: str) -> list[str | None]:
+        if origin == "marked":
+            return [markup.marked_section(text, marker)]
+        return markup.sections(text, emit_tail) if origin == "sections" else [text]
+
+    def cut(origin: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([pieces(o, t) if t is not None else [] for o, t in zip(origin, text)], dtype=object)
+
+    cut = F.pandas_udf(cut, "array<string>").asNondeterministic()
     kept = pages.where(F.col("ns") == 0).withColumn("origin", route(F.col("raw_text")))
-    marked = kept.where("origin = 'marked'").withColumn("raw", F.array(cut("raw_text")))
-    long = kept.where("origin = 'sections'").withColumn("raw", split("raw_text"))
-    page = kept.where("origin = 'page'").withColumn("raw", F.array("raw_text"))
-    rows = marked.unionByName(long).unionByName(page).select("page_seq", "title", "origin", F.posexplode("raw").alias("part", "raw"))
+    rows = kept.withColumn("raw", cut("origin", "raw_text")).select("page_seq", "title", "origin", F.posexplode("raw").alias("part", "raw"))
     rows = rows.where((F.col("origin") != "sections") | (F.length("raw") >= RAW_SECTION_LEAST))
     rows = rows.withColumn("text", markup.clear(F.col("raw")))
     return rows.where(passes(F.col("origin"), F.col("text"))).select("page_seq", "title", "origin", (F.col("origin") == "marked").cast("int").alias("label"), "part", "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than there are; what follows costs more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, pos, form, info by the built-in analysis: a row for each run of letters."""
+    df = spread(df.select(key, text))
     found = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))).alias("pos", "form"))
     return found.withColumn("info", tokens.rule_analysis(F.col("form")))
 

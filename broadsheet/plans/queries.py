@@ -595,7 +595,7 @@ def matrix_of(spark, sf_dir):
     """doc_id, label, features (vector of pooled moments), part of labelled documents."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = dense_rows(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    rows = embed.dense_rows(embed.pooled(looked_up(spark, sf_dir), "doc_id"), "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     rows = rows.join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
     # a reciprocal's sum can be infinite or missing; trees get 0 for it
     finite = F.transform("features", lambda x: F.when(F.isnan(x) | x.isNull() | (F.abs(x) > 1e30), 0.0).otherwise(x))
