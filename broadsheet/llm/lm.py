@@ -1,12 +1,16 @@
 """LM scoring: masked pseudo-likelihood of a window network that sees both sides of every token.
 
-A token is a frequent word or a bucket of rarer words. The network gives the class of a token from the classes at its
-left and right; a token's share in its class comes from counts of the whole corpus. The counts of (left, token, right) classes
-over all documents are all that the network's likelihood depends on, so training on them is training on every token.
+The vocabulary is the corpus's most frequent words and buckets of the others by their endings. A network in numpy gives each
+token from the AROUND tokens at its left and as many at its right: embeddings of each side, scaled by distance, make a hidden
+layer, and a softmax of two levels (a class, then a token of the class) has the token's probability. A rarer word's share in its
+bucket comes from counts of the whole corpus. Every token of the corpus is trained on once: tasks go over their own rows in small
+steps, and after each of ROUNDS rounds their networks are averaged, by tokens seen.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,12 +24,20 @@ from pyspark.sql import functions as F
 from .bpe import WORDS, small_groups
 from .common import Scratch
 
-#: Classes: 0 is the border of a document, the next TOP are frequent words, the rest are of words by their endings.
-CLASSES, TOP = 128, 63
-#: Buckets of each class of rarer words.
-BUCKETS = 4096
-#: Hidden units, training rounds, and the step size.
-HIDDEN, ROUNDS, STEP = 32, 80, 0.03
+#: Classes, and tokens of each class.
+SIDE = 64
+TOKENS = SIDE * SIDE
+#: Tokens that are buckets of rarer words, the last ones; all others are words. A bucket's words are counted in cells.
+RARE, CELLS = TOKENS // 4, 512
+OWN = TOKENS - RARE
+#: Neighbours on each side, and hidden units.
+AROUND, HIDDEN = 2, 24
+#: Rounds of training, step size, tokens of a step.
+ROUNDS, STEP, BLOCK = 3, 0.1, 8192
+#: Tokens that a training task has at least where the input's partitions allow it: each task sends a whole network.
+TASK = 2_000_000
+#: Numbers of a network that travel together.
+CHUNK = 8192
 
 
 def words_of(text: str) -> list[str]:
@@ -54,21 +66,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Coding:
-    """Words to tokens: the class, and the bucket among all buckets (0 for words with a class of their own)."""
+    """Words to codes, token * CELLS + cell. Token TOKENS is the border of a document."""
 
-    def __init__(self, top: list[str]) -> None:
-        self.top = {w: (i + 1) for i, w in enumerate(top)}
+    def __init__(self, own: list[str]) -> None:
+        self.own = {w: i for i, w in enumerate(own)}
         self.known: dict[str, int] = {}
 
     def code(self, word: str) -> int:
-        """class * BUCKETS + bucket"""
-        if word in self.top:
-            return self.top[word] * BUCKETS
-        rest = CLASSES - 1 - TOP
-        return (TOP + 1 + zlib.crc32(word[-3:].encode()) % rest) * BUCKETS + zlib.crc32(word.encode()) % BUCKETS
+        if word in self.own:
+            return self.own[word] * CELLS
+        return (OWN + zlib.crc32(word[-3:].encode()) % RARE) * CELLS + zlib.crc32(word.encode()) % CELLS
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, each with a border (0) before it and one at the end; and the words of each text."""
+        """Codes of all texts, with AROUND borders before, between and after them; and the number of words of each."""
         cut = [words_of(t) for t in texts]
         new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > WORDS:
@@ -76,122 +86,239 @@ class Coding:
             new = set().union(*cut)
         self.known.update((w, self.code(w)) for w in new)
         n = np.array([len(w) for w in cut], np.int64)
-        codes = np.zeros(int(n.sum()) + len(n) + 1, np.int32)
-        at = 0
+        codes = np.full(int(n.sum()) + AROUND * (len(n) + 1), TOKENS * CELLS, np.int32)
+        at = AROUND
         for w in cut:
-            codes[at + 1 : at + 1 + len(w)] = np.fromiter(map(self.known.__getitem__, w), np.int32, len(w))
-            at += len(w) + 1
+            codes[at : at + len(w)] = np.fromiter(map(self.known.__getitem__, w), np.int32, len(w))
+            at += len(w) + AROUND
         return codes, n
 
 
-def count_windows(docs: DataFrame, top: list[str]) -> DataFrame:
-    """cell, n: how often each (left, right, token) of classes is in all whole texts; a task's sums have CLASSES ** 3 cells at most."""
+def one_thread() -> None:
+    """Keeps numpy's OpenBLAS, where that is what it uses, to the task's own core."""
+    with contextlib.suppress(OSError):
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+        for lib in map(ctypes.CDLL, paths):
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding, sums = Coding(top), np.zeros(CLASSES**3, np.int64)
-        for b in batches:
-            for texts in small_groups(b.column("text").to_pylist()):
-                codes, _ = coding.batch(texts)
-                c = codes // BUCKETS
-                mid = c[1:-1]
-                cells = (c[:-2] * CLASSES + c[2:]) * CLASSES + mid
-                sums += np.bincount(cells[mid > 0], minlength=CLASSES**3)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["cell", "n"])
 
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def softmax(z: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log P of each row's slot; and, in z's place, exponentials and their sums, for gradients."""
+    z -= z.max(axis=1, keepdims=True)
+    said = z[np.arange(len(z)), slot]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return said - np.log(total), z, total
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def errors(z: np.ndarray, total: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Gradients of -log P of the slots by the numbers that softmax() was given."""
+    z /= total[:, None]
+    z[np.arange(len(z)), slot] -= 1
+    return z
 
 
-@dataclass
-class Network:
-    left: np.ndarray  # CLASSES x HIDDEN
-    right: np.ndarray
-    hidden: np.ndarray  # HIDDEN
-    out: np.ndarray  # HIDDEN x CLASSES
-    bias: np.ndarray  # CLASSES
+#: The arrays of a network, one after another in a vector: embeddings of the tokens at each side, scales of each side's
+#: distances, the hidden layer's bias, then weights and bias of the classes and of the tokens of each class.
+SHAPES = {
+    "near": (2, TOKENS + 1, HIDDEN), "scale": (2, AROUND, HIDDEN), "hidden": (HIDDEN,), "kind": (HIDDEN, SIDE), "kind_bias": (SIDE,),
+    "token": (SIDE, HIDDEN, SIDE), "token_bias": (SIDE, SIDE),
+}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
 
-    def log_p(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """log P(class | left, right), a row for each pair."""
-        h = np.tanh(self.left[left] + self.right[right] + self.hidden)
-        return log_softmax(h @ self.out + self.bias)
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[k] = flat[at : at + n].reshape(shape)
+        at += n
+    return out
 
 
-def train(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, step: float = STEP, seed: int = 7) -> Network:
-    """Fits the network to window counts by full-batch Adam; the same counts give the same network."""
+def start(counts: np.ndarray, seed: int = 7) -> np.ndarray:
+    """The network before training: small random embeddings, and the tokens' frequencies as biases."""
+    flat = np.zeros(SIZE, np.float32)
+    net = views(flat)
     rng = np.random.default_rng(seed)
-    target = np.zeros((CLASSES * CLASSES, CLASSES), np.float32)
-    target.reshape(-1)[cells] = counts
-    pairs = np.flatnonzero(target.sum(axis=1))
-    target = target[pairs] / max(1, counts.sum())
-    l, r = pairs // CLASSES, pairs % CLASSES
-    total = target.sum(axis=1, keepdims=True)
-    f = np.float32
-    share = (np.bincount(cells % CLASSES, counts, CLASSES) + 1) / (counts.sum() + CLASSES)
-    net = Network(*(rng.normal(0, 0.1, s).astype(f) for s in ((CLASSES, HIDDEN), (CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES))), np.log(share).astype(f))
-    names = ("left", "right", "hidden", "out", "bias")
-    m = {k: np.zeros_like(getattr(net, k)) for k in names}
-    v = {k: np.zeros_like(getattr(net, k)) for k in names}
-    side_l, side_r = np.zeros((CLASSES, len(pairs)), f), np.zeros((CLASSES, len(pairs)), f)
-    side_l[l, np.arange(len(pairs))] = 1
-    side_r[r, np.arange(len(pairs))] = 1
-    for t in range(1, rounds + 1 if len(pairs) else 1):
-        h = np.tanh(net.left[l] + net.right[r] + net.hidden)
-        d = np.exp(log_softmax(h @ net.out + net.bias)) * total - target
-        g = {"out": h.T @ d, "bias": d.sum(axis=0)}
-        dh = (d @ net.out.T) * (1 - h * h)
-        g |= {"hidden": dh.sum(axis=0), "left": side_l @ dh, "right": side_r @ dh}
-        for k in names:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            setattr(net, k, (getattr(net, k) - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(f))
-    return net
+    for k in ("near", "kind", "token"):
+        net[k][:] = rng.normal(0, 0.1, net[k].shape)
+    net["scale"][:] = 1 / np.arange(1, AROUND + 1)[:, None]
+    n = counts.reshape(SIDE, SIDE) + 1.0
+    net["kind_bias"][:] = np.log(n.sum(axis=1) / n.sum())
+    net["token_bias"][:] = np.log(n / n.sum(axis=1, keepdims=True))
+    return flat
+
+
+class Network:
+    """A network and the sums of squared gradients of its training, as one vector."""
+
+    def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None) -> None:
+        self.flat, self.squares = flat, squares
+        self.net = views(flat)
+        self.sq = None if squares is None else views(squares)
+
+    def hidden(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        net = self.net
+        a = np.repeat(net["hidden"][None], len(at), 0)
+        for d in range(AROUND):
+            a += net["near"][0][x[at - d - 1]] * net["scale"][0, d]
+            a += net["near"][1][x[at + d + 1]] * net["scale"][1, d]
+        return np.tanh(a)
+
+    def log_p(self, x: np.ndarray, at: np.ndarray, learn: bool = False) -> np.ndarray:
+        """log P(token | both sides) at the places `at` of the tokens x; with learn, one step of Adagrad on their sum."""
+        order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
+        at = at[order]
+        kind, slot = np.divmod(x[at], SIDE)
+        h = self.hidden(x, at)
+        logs, z, total = softmax(h @ self.net["kind"] + self.net["kind_bias"], kind)
+        said = logs.astype(np.float64)
+        if learn:
+            d = errors(z, total, kind)
+            dh = d @ self.net["kind"].T
+            by_kind, by_kind_bias = np.zeros_like(self.net["token"]), np.zeros_like(self.net["token_bias"])
+            steps = [("kind", ..., h.T @ d), ("kind_bias", ..., d.sum(axis=0)), ("token", ..., by_kind), ("token_bias", ..., by_kind_bias)]
+        ends = np.cumsum(np.bincount(kind, minlength=SIDE))
+        for k, (i, j) in enumerate(zip(np.append(0, ends), ends)):
+            if i == j:
+                continue
+            logs, z, total = softmax(h[i:j] @ self.net["token"][k] + self.net["token_bias"][k], slot[i:j])
+            said[i:j] += logs
+            if learn:
+                d = errors(z, total, slot[i:j])
+                dh[i:j] += d @ self.net["token"][k].T
+                by_kind[k], by_kind_bias[k] = h[i:j].T @ d, d.sum(axis=0)
+        if learn:
+            self.step(steps + self.below(x, at, dh * (1 - h * h)))
+        out = np.empty(len(at))
+        out[order] = said
+        return out
+
+    def below(self, x: np.ndarray, at: np.ndarray, da: np.ndarray) -> list:
+        """Gradients below the hidden layer, given that of its input."""
+        steps = [("hidden", ..., da.sum(axis=0))]
+        for side, sign in ((0, -1), (1, 1)):
+            seen = np.concatenate([x[at + sign * (d + 1)] for d in range(AROUND)])
+            of = np.concatenate([da * self.net["scale"][side, d] for d in range(AROUND)])
+            near = self.net["near"][side][seen].reshape(AROUND, len(at), HIDDEN)
+            steps.append(("scale", side, np.stack([(near[d] * da).sum(axis=0) for d in range(AROUND)])))
+            order = np.argsort(seen.astype(np.uint16), kind="stable")
+            ids = seen[order]
+            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            steps.append(("near", (side, ids[firsts]), np.add.reduceat(of[order], firsts, axis=0)))
+        return steps
+
+    def step(self, steps: list) -> None:
+        for name, where, g in steps:
+            sq = self.sq[name][where] + g * g
+            self.sq[name][where] = sq
+            self.net[name][where] -= STEP * g / (np.sqrt(sq) + np.float32(1e-6))
+
+
+def centres(n: np.ndarray) -> np.ndarray:
+    """Places of all words in what Coding.batch gives."""
+    return np.arange(int(n.sum())) + AROUND * (1 + np.repeat(np.arange(len(n)), n))
+
+
+def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.ndarray:
+    """The network after ROUNDS rounds. In round r each task takes every ROUNDS-th of its rows from the r-th on.
+
+    A task sends its network in chunks, which are summed as they come in, by owners of chunks; the driver gets one
+    averaged network a round. A network's size is fixed, and tasks have TASK tokens or one of the input's partitions.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("text")
+    docs = docs.coalesce(max(1, min(docs.rdd.getNumPartitions(), -(-tokens // TASK))))
+    state = np.concatenate([flat, np.zeros(SIZE, np.float32)])
+    chunks = -(-len(state) // CHUNK)
+    for r in range(ROUNDS if tokens else 0):
+        sent = spark.sparkContext.broadcast(state)
+
+        def learn(batches: Iterator[pa.RecordBatch], r: int = r, sent=sent) -> Iterator[pa.RecordBatch]:
+            one_thread()
+            mine = sent.value.copy()
+            net, coding, row, n_all = Network(mine[:SIZE], mine[SIZE:]), Coding(own), 0, 0
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                first = (r - row) % ROUNDS
+                row += len(texts)
+                for group in small_groups(texts[first::ROUNDS]):
+                    codes, n = coding.batch(group)
+                    x, at = codes // CELLS, centres(n)
+                    # rows follow each other in a text, so a step takes places from all over the group
+                    at = np.random.default_rng(r).permutation(at)
+                    n_all += len(at)
+                    for i in range(0, len(at), BLOCK):
+                        net.log_p(x, at[i : i + BLOCK], learn=True)
+            if n_all:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(chunks), pa.int32()), pa.array([n_all] * chunks, pa.int64()), pa.array([mine[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(chunks)], pa.binary())],
+                    names=["chunk", "n", "part"],
+                )
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            n_of: Counter[int] = Counter()
+            for b in batches:
+                for c, n, part in zip(*(b.column(k).to_pylist() for k in ("chunk", "n", "part"))):
+                    sums[c] = sums.get(c, 0.0) + n * np.frombuffer(part, np.float32).astype(np.float64)
+                    n_of[c] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[c] / n_of[c]).astype(np.float32).tobytes() for c in sums], pa.binary())], names=["chunk", "part"])
+
+        sums = docs.mapInArrow(learn, "chunk int, n long, part binary").repartition("chunk").mapInArrow(add, "chunk int, part binary")
+        state = np.concatenate([np.frombuffer(p["part"], np.float32) for p in sorted(sums.collect(), key=lambda p: p["chunk"])])
+        sent.destroy()
+    return state[:SIZE].copy()
 
 
 @dataclass
 class Model:
-    top: list[str]
-    windows: np.ndarray  # log P(class | left, right) as left, right, class
-    share: np.ndarray  # log P(bucket | class) by code
+    own: list[str]
+    flat: np.ndarray  # the network
+    share: np.ndarray  # log P(cell | bucket) of the buckets' cells
 
     def score(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Sums of log P(token | both sides) for texts coded by Coding.batch."""
-        c = codes // BUCKETS
-        each = np.zeros(len(codes))
-        each[1:-1] = self.windows[(c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]].astype(np.float64) + self.share[codes[1:-1]]
-        each[c == 0] = 0
-        starts = np.cumsum(n + 1) - (n + 1)
-        return np.add.reduceat(each, starts) if len(n) else np.zeros(0)
+        """Sums of log P(word | both sides) for texts coded by Coding.batch."""
+        net, x, at = Network(self.flat), codes // CELLS, centres(n)
+        each = [net.log_p(x, at[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
+        cell = codes[at] - OWN * CELLS
+        logs = (np.concatenate(each) if each else np.zeros(0)) + np.where(cell >= 0, self.share[np.maximum(cell, 0)], 0)
+        ends = np.append(0.0, np.cumsum(logs))
+        stops = np.cumsum(n)
+        return ends[stops] - ends[stops - n]
 
 
 def fit(docs: DataFrame, scratch: Scratch) -> Model:
-    """Counts all words and windows, and trains the network on the driver, where all sizes are fixed by the parameters."""
+    """The network of all whole texts of docs (column text), and the counts it starts from.
+
+    Null and blank texts have no tokens, and change nothing; repeated rows count each time. An empty table gives the network
+    before training, whose tokens are alike. No other column is read. The driver sees OWN words, RARE * CELLS counts and a
+    network a round, all of fixed size.
+    """
     words = scratch.keep(count_words(docs), "words")
-    top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    coding = Coding(top)
+    # words with like endings stand together, so that classes are of like words
+    own = sorted((r["word"] for r in words.orderBy(F.desc("n"), "word").limit(OWN).collect()), key=lambda w: w[::-1])
+    coding = Coding(own)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CLASSES * BUCKETS, np.int64)
+        sums = np.zeros(TOKENS * CELLS, np.int64)
         for b in batches:
             at = np.array([coding.code(w) for w in b.column("word").to_pylist()], np.int64)
-            sums += np.bincount(at, b.column("n").to_numpy(), len(sums)).astype(np.int64)
+            np.add.at(sums, at, b.column("n").to_numpy())
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["code", "n"])
 
-    shares = words.mapInArrow(code, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    by_code = np.zeros((CLASSES, BUCKETS))
-    by_code.reshape(-1)[shares["code"].to_numpy()] = shares["n"].to_numpy()
-    with np.errstate(divide="ignore"):
-        share = np.log((by_code + 1) / (by_code + 1).sum(axis=1, keepdims=True))
-    share[: TOP + 1] = 0
-    cells = count_windows(docs, top).toArrow()
-    net = train(cells["cell"].to_numpy(), cells["n"].to_numpy())
-    left, right = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
-    return Model(top, net.log_p(left, right).reshape(-1), share.reshape(-1).astype(np.float32))
+    found = words.mapInArrow(code, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    by_code = np.zeros((TOKENS, CELLS))
+    by_code.reshape(-1)[found["code"].to_numpy()] = found["n"].to_numpy()
+    rare = by_code[OWN:] + 1
+    share = np.log(rare / rare.sum(axis=1, keepdims=True)).reshape(-1).astype(np.float32)
+    flat = train(docs, own, start(by_code.sum(axis=1)), int(by_code.sum()))
+    return Model(own, flat, share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -203,7 +330,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding = Coding(sent.value.top)
+        one_thread()
+        coding = Coding(sent.value.own)
         for b in batches:
             ns, sums = [], []
             for texts in small_groups(b.column("text").to_pylist()):

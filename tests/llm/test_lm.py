@@ -4,30 +4,101 @@ from broadsheet.llm import lm
 from broadsheet.llm.common import Scratch
 
 
+def by_hand(net: dict, x: list[int], i: int) -> float:
+    """log P of the token at i, unit by unit."""
+    a = net["hidden"].astype(float).copy()
+    for d in range(1, lm.AROUND + 1):
+        a += net["near"][0][x[i - d]] * net["scale"][0][d - 1].astype(float)
+        a += net["near"][1][x[i + d]] * net["scale"][1][d - 1].astype(float)
+    h = np.tanh(a)
+    kind, slot = divmod(x[i], lm.SIDE)
+    z = h @ net["kind"] + net["kind_bias"]
+    y = h @ net["token"][kind] + net["token_bias"][kind]
+    return float(z[kind] - np.log(np.exp(z).sum()) + y[slot] - np.log(np.exp(y).sum()))
+
+
+def made(seed=3):
+    rng = np.random.default_rng(seed)
+    flat = lm.start(rng.integers(0, 50, lm.TOKENS), seed)
+    border = [lm.TOKENS] * lm.AROUND
+    x = np.array(border + list(rng.integers(0, lm.TOKENS, 40)) + border)
+    return flat, x, np.arange(lm.AROUND, lm.AROUND + 40)
+
+
+def test_network_is_the_formula():
+    flat, x, at = made()
+    got = lm.Network(flat).log_p(x, at)
+    assert np.allclose(got, [by_hand(lm.views(flat), list(x), i) for i in at], atol=1e-4)
+    # over all tokens that could stand at a place, probabilities sum to one
+    total = 0.0
+    for t in range(lm.TOKENS):
+        y = x.copy()
+        y[at[5]] = t
+        total += np.exp(lm.Network(flat).log_p(y, at[5:6])[0])
+    assert abs(total - 1) < 1e-3
+
+
+def test_gradients_are_differences():
+    flat, x, at = made()
+    flat = flat.astype(np.float64)
+    net = lm.Network(flat, np.zeros_like(flat))
+    seen = []
+    net.step = seen.extend
+    net.log_p(x, at, learn=True)
+    g = np.zeros_like(flat)
+    for name, where, v in seen:
+        lm.views(g)[name][where] = v
+    rng = np.random.default_rng(1)
+    for i in [*rng.choice(np.flatnonzero(g), 150), *range(2 * (lm.TOKENS + 1) * lm.HIDDEN, 2 * (lm.TOKENS + 1) * lm.HIDDEN + 5 * lm.HIDDEN, 7)]:
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        want = -(lm.Network(up).log_p(x, at).sum() - lm.Network(down).log_p(x, at).sum()) / 2e-4
+        assert abs(g[i] - want) < 1e-5 + 1e-4 * abs(want)
+
+
 def test_scores_are_sums_over_the_network(spark, odd, corpus):
     model = lm.fit(corpus, Scratch(spark, "fit"))
     got = {(r["doc_id"]): r for r in lm.score(corpus, model).collect()}
-    coding = lm.Coding(model.top)
+    coding, net = lm.Coding(model.own), lm.views(model.flat)
     for r in corpus.limit(15).collect():
-        codes = [0] + [coding.code(w) for w in lm.words_of(r["text"])] + [0]
-        c = [x // lm.BUCKETS for x in codes]
-        want = sum(float(model.windows[(c[i - 1] * lm.CLASSES + c[i + 1]) * lm.CLASSES + c[i]]) + float(model.share[codes[i]]) for i in range(1, len(c) - 1))
-        assert abs(got[r["doc_id"]]["log_likelihood"] - want) < 1e-6 * max(1, abs(want)) and got[r["doc_id"]]["n_tokens"] == len(codes) - 2
-    # every distribution sums to one
-    p = np.exp(model.windows.reshape(lm.CLASSES, lm.CLASSES, lm.CLASSES).astype(float)).sum(axis=2)
-    assert np.allclose(p, 1, atol=1e-4)
-    rest = np.exp(model.share.reshape(lm.CLASSES, lm.BUCKETS)[lm.TOP + 1 :].astype(float)).sum(axis=1)
+        codes = [coding.code(w) for w in lm.words_of(r["text"])]
+        border = [lm.TOKENS] * lm.AROUND
+        x = border + [c // lm.CELLS for c in codes] + border
+        want = sum(by_hand(net, x, i + lm.AROUND) + (float(model.share[c - lm.OWN * lm.CELLS]) if c >= lm.OWN * lm.CELLS else 0) for i, c in enumerate(codes))
+        assert abs(got[r["doc_id"]]["log_likelihood"] - want) < 1e-4 * max(1, abs(want)) and got[r["doc_id"]]["n_tokens"] == len(codes)
+    rest = np.exp(model.share.reshape(lm.RARE, lm.CELLS).astype(float)).sum(axis=1)
     assert np.allclose(rest, 1, atol=1e-3)
     rows = lm.score(odd, model).collect()
     assert len(rows) == odd.count() and {r["per_token"] for r in rows if not r["n_tokens"]} == {None}
+    assert np.isfinite(lm.fit(odd, Scratch(spark, "odd")).flat).all()
     none = lm.fit(odd.where("false"), Scratch(spark, "none"))
-    assert lm.score(odd.where("false"), none).count() == 0 and np.isfinite(none.windows).all()
+    assert lm.score(odd.where("false"), none).count() == 0 and np.isfinite(none.flat).all()
+
+
+def test_one_task_trains_as_the_plain_loop(spark, corpus):
+    docs = corpus.coalesce(1)
+    texts = [r["text"] or "" for r in docs.collect()]
+    own = sorted({w for t in texts[:20] for w in lm.words_of(t)}, key=lambda w: w[::-1])[: lm.OWN]
+    flat = lm.start(np.zeros(lm.TOKENS))
+    got = lm.train(docs, own, flat, 1)
+    net, coding = lm.Network(flat.copy(), np.zeros_like(flat)), lm.Coding(own)
+    for r in range(lm.ROUNDS):
+        codes, n = coding.batch(texts[r :: lm.ROUNDS])
+        at = np.random.default_rng(r).permutation(lm.centres(n))
+        for i in range(0, len(at), lm.BLOCK):
+            net.log_p(codes // lm.CELLS, at[i : i + lm.BLOCK], learn=True)
+    assert np.abs(got - flat).max() > 0.1 and np.allclose(got, net.flat, atol=1e-3)
 
 
 def test_held_out_tokens_are_predicted_from_both_sides(spark, corpus):
-    """Better than by how frequent each class is."""
+    """Better than by frequencies alone, which the network starts from."""
     model = lm.fit(corpus.where("doc_id % 4 <> 0"), Scratch(spark, "held"))
-    seen, held = (lm.count_windows(corpus.where(x), model.top).toPandas() for x in ("doc_id % 4 <> 0", "doc_id % 4 = 0"))
-    alone = np.bincount(seen.cell % lm.CLASSES, seen.n, lm.CLASSES) + 1
-    alone = np.log(alone / alone.sum())
-    assert (model.windows[held.cell] * held.n).sum() > (alone[held.cell % lm.CLASSES] * held.n).sum() + 0.05 * held.n.sum()
+    coding = lm.Coding(model.own)
+    codes, n = coding.batch([r["text"] or "" for r in corpus.where("doc_id % 4 = 0").collect()])
+    known, _ = coding.batch([r["text"] or "" for r in corpus.where("doc_id % 4 <> 0").collect()])
+    counts = np.bincount(known // lm.CELLS, minlength=lm.TOKENS + 1)[: lm.TOKENS]
+    alone = lm.Model(model.own, lm.start(counts), model.share)
+    for k in ("near", "kind", "token"):
+        lm.views(alone.flat)[k][:] = 0
+    assert model.score(codes, n).sum() > alone.score(codes, n).sum() + 0.05 * n.sum()
