@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WORDS, small_groups
+from .bpe import WORDS, small_groups, worker_cache
 from .common import Scratch
 
 #: Classes, and tokens of each class.
@@ -94,6 +94,14 @@ class Coding:
         return codes, n
 
 
+def coding_of(own: list[str]) -> Coding:
+    """The coding of these words; a worker keeps the last one, with what it has coded."""
+    kept = worker_cache()
+    if getattr(kept, "coding", (None,))[0] != own:
+        kept.coding = (own, Coding(own))
+    return kept.coding[1]
+
+
 def one_thread() -> None:
     """Keeps numpy's OpenBLAS, where that is what it uses, to the task's own core."""
     with contextlib.suppress(OSError):
@@ -161,20 +169,25 @@ class Network:
         self.net = views(flat)
         self.sq = None if squares is None else views(squares)
 
-    def hidden(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hidden(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
+        """The hidden layer, and per side and distance the neighbours and their embeddings."""
         net = self.net
         a = np.repeat(net["hidden"][None], len(at), 0)
-        for d in range(AROUND):
-            a += net["near"][0][x[at - d - 1]] * net["scale"][0, d]
-            a += net["near"][1][x[at + d + 1]] * net["scale"][1, d]
-        return np.tanh(a)
+        seen = []
+        for side, sign in ((0, -1), (1, 1)):
+            for d in range(AROUND):
+                ids = x[at + sign * (d + 1)]
+                rows = net["near"][side].take(ids, axis=0)
+                seen.append((ids, rows))
+                a += rows * net["scale"][side, d]
+        return np.tanh(a, out=a), seen
 
     def log_p(self, x: np.ndarray, at: np.ndarray, learn: bool = False) -> np.ndarray:
         """log P(token | both sides) at the places `at` of the tokens x; with learn, one step of Adagrad on their sum."""
         order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
         at = at[order]
         kind, slot = np.divmod(x[at], SIDE)
-        h = self.hidden(x, at)
+        h, seen = self.hidden(x, at)
         logs, z, total = softmax(h @ self.net["kind"] + self.net["kind_bias"], kind)
         said = logs.astype(np.float64)
         if learn:
@@ -193,23 +206,23 @@ class Network:
                 dh[i:j] += d @ self.net["token"][k].T
                 by_kind[k], by_kind_bias[k] = h[i:j].T @ d, d.sum(axis=0)
         if learn:
-            self.step(steps + self.below(x, at, dh * (1 - h * h)))
+            self.step(steps + self.below(seen, dh * (1 - h * h)))
         out = np.empty(len(at))
         out[order] = said
         return out
 
-    def below(self, x: np.ndarray, at: np.ndarray, da: np.ndarray) -> list:
-        """Gradients below the hidden layer, given that of its input."""
+    def below(self, seen: list, da: np.ndarray) -> list:
+        """Gradients below the hidden layer, given that of its input and what hidden() saw."""
         steps = [("hidden", ..., da.sum(axis=0))]
-        for side, sign in ((0, -1), (1, 1)):
-            seen = np.concatenate([x[at + sign * (d + 1)] for d in range(AROUND)])
+        for side in (0, 1):
+            mine = seen[side * AROUND : (side + 1) * AROUND]
             of = np.concatenate([da * self.net["scale"][side, d] for d in range(AROUND)])
-            near = self.net["near"][side][seen].reshape(AROUND, len(at), HIDDEN)
-            steps.append(("scale", side, np.stack([(near[d] * da).sum(axis=0) for d in range(AROUND)])))
-            order = np.argsort(seen.astype(np.uint16), kind="stable")
-            ids = seen[order]
+            steps.append(("scale", side, np.stack([np.einsum("ij,ij->j", rows, da) for _, rows in mine])))
+            ids = np.concatenate([i for i, _ in mine]).astype(np.uint16)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
             firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            steps.append(("near", (side, ids[firsts]), np.add.reduceat(of[order], firsts, axis=0)))
+            steps.append(("near", (side, ids[firsts]), np.add.reduceat(of.take(order, axis=0), firsts, axis=0)))
         return steps
 
     def step(self, steps: list) -> None:
@@ -241,7 +254,7 @@ def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, sent=sent) -> Iterator[pa.RecordBatch]:
             one_thread()
             mine = sent.value.copy()
-            net, coding, row, n_all = Network(mine[:SIZE], mine[SIZE:]), Coding(own), 0, 0
+            net, coding, row, n_all = Network(mine[:SIZE], mine[SIZE:]), coding_of(own), 0, 0
             for b in batches:
                 texts = b.column("text").to_pylist()
                 first = (r - row) % ROUNDS
@@ -284,9 +297,13 @@ class Model:
     def score(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Sums of log P(word | both sides) for texts coded by Coding.batch."""
         net, x, at = Network(self.flat), codes // CELLS, centres(n)
-        each = [net.log_p(x, at[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
+        # a block has few classes when all places are sorted by class
+        order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
         cell = codes[at] - OWN * CELLS
-        logs = (np.concatenate(each) if each else np.zeros(0)) + np.where(cell >= 0, self.share[np.maximum(cell, 0)], 0)
+        logs = np.where(cell >= 0, self.share[np.maximum(cell, 0)], 0).astype(np.float64)
+        for i in range(0, len(at), BLOCK):
+            some = order[i : i + BLOCK]
+            logs[some] += net.log_p(x, at[some])
         ends = np.append(0.0, np.cumsum(logs))
         stops = np.cumsum(n)
         return ends[stops] - ends[stops - n]
@@ -331,7 +348,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        coding = Coding(sent.value.own)
+        coding = coding_of(sent.value.own)
         for b in batches:
             ns, sums = [], []
             for texts in small_groups(b.column("text").to_pylist()):
