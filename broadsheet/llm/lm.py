@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +66,16 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coding:
-    """Words to codes, token * CELLS + cell. Token TOKENS is the border of a document."""
+class Coding(dict):
+    """Words to codes, token * CELLS + cell. Token TOKENS is the border of a document. It remembers codes that it has given."""
 
     def __init__(self, own: list[str]) -> None:
+        super().__init__()
         self.own = {w: i for i, w in enumerate(own)}
-        self.known: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = self.code(word)
+        return code
 
     def code(self, word: str) -> int:
         if word in self.own:
@@ -79,21 +84,20 @@ class Coding:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, with AROUND borders before, between and after them; and the number of words of each."""
+        if len(self) > WORDS:
+            self.clear()
         cut = [words_of(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = set().union(*cut)
-        self.known.update((w, self.code(w)) for w in new)
         n = np.array([len(w) for w in cut], np.int64)
         codes = np.full(int(n.sum()) + AROUND * (len(n) + 1), TOKENS * CELLS, np.int32)
-        at = AROUND
-        for w in cut:
-            codes[at : at + len(w)] = np.fromiter(map(self.known.__getitem__, w), np.int32, len(w))
-            at += len(w) + AROUND
+        codes[centres(n)] = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int32, int(n.sum()))
         return codes, n
 
 
+def centres(n: np.ndarray) -> np.ndarray:
+    """Places of all words in what Coding.batch gives."""
+    return np.arange(int(n.sum())) + AROUND * (1 + np.repeat(np.arange(len(n)), n))
+
+
 def coding_of(own: list[str]) -> Coding:
     """The coding of these words; a worker keeps the last one, with what it has coded."""
     kept = worker_cache()
@@ -113,27 +117,26 @@ def one_thread() -> None:
                     getattr(lib, name)(1)
 
 
-def softmax(z: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log P of each row's slot; and, in z's place, exponentials and their sums, for gradients."""
-    z -= z.max(axis=1, keepdims=True)
-    said = z[np.arange(len(z)), slot]
+def softmax(z: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P of each column's slot; and the sums of the exponentials that it puts in z's place, for gradients."""
+    z -= z.max(axis=0)
+    said = z[slot, np.arange(len(slot))]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    return said - np.log(total), z, total
+    total = z.sum(axis=0)
+    return said - np.log(total), total
 
 
 def errors(z: np.ndarray, total: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Gradients of -log P of the slots by the numbers that softmax() was given."""
-    z /= total[:, None]
-    z[np.arange(len(z)), slot] -= 1
+    z *= 1 / total
+    z[slot, np.arange(len(slot))] -= 1
     return z
 
 
 #: The arrays of a network, one after another in a vector: embeddings of the tokens at each side, scales of each side's
-#: distances, the hidden layer's bias, then weights and bias of the classes and of the tokens of each class.
+#: distances, the hidden layer's bias, then weights of the classes and of the tokens of each class, a bias as their last row.
 SHAPES = {
-    "near": (2, TOKENS + 1, HIDDEN), "scale": (2, AROUND, HIDDEN), "hidden": (HIDDEN,), "kind": (HIDDEN, SIDE), "kind_bias": (SIDE,),
-    "token": (SIDE, HIDDEN, SIDE), "token_bias": (SIDE, SIDE),
+    "near": (2, TOKENS + 1, HIDDEN), "scale": (2, AROUND, HIDDEN), "hidden": (HIDDEN,), "kinds": (HIDDEN + 1, SIDE), "tokens": (SIDE, HIDDEN + 1, SIDE),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -144,7 +147,7 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
         n = int(np.prod(shape))
         out[k] = flat[at : at + n].reshape(shape)
         at += n
-    return out
+    return out | {"kind": out["kinds"][:-1], "kind_bias": out["kinds"][-1], "token": out["tokens"][:, :-1], "token_bias": out["tokens"][:, -1]}
 
 
 def start(counts: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -170,7 +173,7 @@ class Network:
         self.sq = None if squares is None else views(squares)
 
     def hidden(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
-        """The hidden layer, and per side and distance the neighbours and their embeddings."""
+        """The hidden layer, a row for each unit and one of ones; and per side and distance the neighbours and their embeddings."""
         net = self.net
         a = np.repeat(net["hidden"][None], len(at), 0)
         seen = []
@@ -180,35 +183,38 @@ class Network:
                 rows = net["near"][side].take(ids, axis=0)
                 seen.append((ids, rows))
                 a += rows * net["scale"][side, d]
-        return np.tanh(a, out=a), seen
+        h = np.ones((HIDDEN + 1, len(at)), a.dtype)
+        h[:-1] = np.tanh(a, out=a).T
+        return h, seen
 
     def log_p(self, x: np.ndarray, at: np.ndarray, learn: bool = False) -> np.ndarray:
-        """log P(token | both sides) at the places `at` of the tokens x; with learn, one step of Adagrad on their sum."""
+        """log P(token | both sides) at the places `at` of the tokens x; with learn, one step of Adagrad on their sum.
+
+        Layers have a row for each unit and a column for each place, so that sums over units run along the places.
+        """
         order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
         at = at[order]
         kind, slot = np.divmod(x[at], SIDE)
         h, seen = self.hidden(x, at)
-        logs, z, total = softmax(h @ self.net["kind"] + self.net["kind_bias"], kind)
-        said = logs.astype(np.float64)
+        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=SIDE)))
+        runs = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        kinds, tokens = self.net["kinds"], self.net["tokens"]
+        z = kinds.T @ h
+        y = np.empty_like(z)
+        for k, run in runs:
+            np.matmul(tokens[k].T, h[:, run], out=y[:, run])
+        of_kind, z_total = softmax(z, kind)
+        of_slot, y_total = softmax(y, slot)
         if learn:
-            d = errors(z, total, kind)
-            dh = d @ self.net["kind"].T
-            by_kind, by_kind_bias = np.zeros_like(self.net["token"]), np.zeros_like(self.net["token_bias"])
-            steps = [("kind", ..., h.T @ d), ("kind_bias", ..., d.sum(axis=0)), ("token", ..., by_kind), ("token_bias", ..., by_kind_bias)]
-        ends = np.cumsum(np.bincount(kind, minlength=SIDE))
-        for k, (i, j) in enumerate(zip(np.append(0, ends), ends)):
-            if i == j:
-                continue
-            logs, z, total = softmax(h[i:j] @ self.net["token"][k] + self.net["token_bias"][k], slot[i:j])
-            said[i:j] += logs
-            if learn:
-                d = errors(z, total, slot[i:j])
-                dh[i:j] += d @ self.net["token"][k].T
-                by_kind[k], by_kind_bias[k] = h[i:j].T @ d, d.sum(axis=0)
-        if learn:
-            self.step(steps + self.below(seen, dh * (1 - h * h)))
+            z, y = errors(z, z_total, kind), errors(y, y_total, slot)
+            dh, by_kind = kinds[:-1] @ z, np.zeros_like(tokens)
+            for k, run in runs:
+                dh[:, run] += tokens[k, :-1] @ y[:, run]
+                np.matmul(h[:, run], y[:, run].T, out=by_kind[k])
+            da = np.ascontiguousarray((dh * (1 - h[:-1] * h[:-1])).T)
+            self.step([("kinds", ..., h @ z.T), ("tokens", ..., by_kind), *self.below(seen, da)])
         out = np.empty(len(at))
-        out[order] = said
+        out[order] = of_kind.astype(np.float64) + of_slot
         return out
 
     def below(self, seen: list, da: np.ndarray) -> list:
@@ -232,11 +238,6 @@ class Network:
             self.net[name][where] -= STEP * g / (np.sqrt(sq) + np.float32(1e-6))
 
 
-def centres(n: np.ndarray) -> np.ndarray:
-    """Places of all words in what Coding.batch gives."""
-    return np.arange(int(n.sum())) + AROUND * (1 + np.repeat(np.arange(len(n)), n))
-
-
 def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.ndarray:
     """The network after ROUNDS rounds. In round r each task takes every ROUNDS-th of its rows from the r-th on.
 
@@ -256,10 +257,9 @@ def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.
             mine = sent.value.copy()
             net, coding, row, n_all = Network(mine[:SIZE], mine[SIZE:]), coding_of(own), 0, 0
             for b in batches:
-                texts = b.column("text").to_pylist()
-                first = (r - row) % ROUNDS
-                row += len(texts)
-                for group in small_groups(texts[first::ROUNDS]):
+                mine_of = pa.array(range((r - row) % ROUNDS, b.num_rows, ROUNDS), pa.int64())
+                row += b.num_rows
+                for group in small_groups(b.column("text").take(mine_of).to_pylist()):
                     codes, n = coding.batch(group)
                     x, at = codes // CELLS, centres(n)
                     # rows follow each other in a text, so a step takes places from all over the group
