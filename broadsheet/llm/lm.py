@@ -334,6 +334,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> Model:
     by_code.reshape(-1)[found["code"].to_numpy()] = found["n"].to_numpy()
     rare = by_code[OWN:] + 1
     share = np.log(rare / rare.sum(axis=1, keepdims=True)).reshape(-1).astype(np.float32)
+    scratch.drop("words")
     flat = train(docs, own, start(by_code.sum(axis=1)), int(by_code.sum()))
     return Model(own, flat, share)
 

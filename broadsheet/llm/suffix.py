@@ -397,6 +397,7 @@ def cut_out(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     found = scratch.keep(repeats(own.drop("h"), scratch, length), "found")
     whole = copies.where(F.col("n_bytes") >= length).groupBy("id").agg(F.collect_set("h").alias("whole"))
     cuts = scratch.keep(merged(found).join(whole, "id", "full"), "cuts")
+    scratch.drop("base", "copies", "again", "marks", "found")
     size = cuts.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("lo"), F.lit(0))).alias("runs")).first()
     few = 80 * size["n"] + 8 * (size["runs"] or 0) <= BROADCAST_BYTES
     touched = rows.join(F.broadcast(cuts) if few else cuts, "id", "left")

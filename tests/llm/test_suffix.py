@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from broadsheet.llm import suffix
+from broadsheet.llm import common, suffix
 from broadsheet.llm.common import Scratch
 
 
@@ -56,6 +56,16 @@ def test_one_row_of_those_that_repeat_stays(spark):
     assert ran(df, "r", 100) == brute(rows, 100)
 
 
+def test_beyond_the_broadcast_bounds(spark, odd, monkeypatch):
+    for where, name in ((suffix, "BROADCAST_MARKS"), (suffix, "BROADCAST_BYTES"), (common, "BROADCAST_ROWS")):
+        monkeypatch.setattr(where, name, 0)
+    p = "A passage of some length that a few documents hold, with words of its own, over and over again: yes, indeed. "
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    rows += [(100 + i, f"{i} " + p * (1 + i % 3) + f" post {i % 4}") for i in range(20)] + [(130, p * 2), (131, p * 2), (131, p * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ran(df, "w", 100) == brute(rows, 100)
+
+
 def test_spans_and_kept_bytes(spark):
     p = "é passage of some length that many documents hold, with its own words, over and over again: yes, indeed, é"
     rows = [(1, f"one {p} end"), (2, f"two {p} fin {p}"), (3, f"one {p} end"), (4, "short"), (5, None)]
