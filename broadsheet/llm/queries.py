@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, jaccard, lm, pack, quality, secrets, shard, suffix
+from . import baskets, bpe, chat, exact, jaccard, lm, merkle, pack, pieces, quality, secrets, shard, suffix
 from .common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,107 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, lm.fit(docs, Scratch(spark, "op10")))
+
+
+@query(
+    "op11_nlist_itemsets",
+    r"""
+WITH RECURSIVE pairs AS (
+  SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE flag IS DISTINCT FROM 'returned' AND sale_id IS NOT NULL AND item_id IS NOT NULL
+), b AS (
+  SELECT count(DISTINCT sale_id) AS b FROM pairs
+), ones AS (
+  SELECT item_id AS item, list(sale_id ORDER BY sale_id) AS sales FROM pairs GROUP BY item_id
+  HAVING count(*) >= 8 AND count(*) * 2000 >= (SELECT b FROM b)
+), sets AS (
+  SELECT [item] AS items, item AS last, sales FROM ones
+  UNION ALL
+  SELECT items, last, sales FROM (
+    SELECT list_append(s.items, o.item) AS items, o.item AS last, list_intersect(s.sales, o.sales) AS sales FROM sets s JOIN ones o ON o.item > s.last
+  ) WHERE len(sales) >= 8 AND len(sales) * 2000 >= (SELECT b FROM b)
+), supports AS (
+  SELECT items, len(sales) AS support FROM sets
+), less AS (
+  SELECT items, support, c, list_filter(items, lambda x: x <> c) AS rest FROM (SELECT items, support, unnest(items) AS c FROM supports WHERE len(items) > 1)
+), shut AS (
+  SELECT s.items, s.support FROM supports s LEFT JOIN (SELECT rest, max(support) AS m FROM less GROUP BY rest) ON rest = s.items
+  WHERE m IS NULL OR m < s.support
+), rules AS (
+  SELECT less.items, less.c, r.support AS a, o.support AS s FROM less JOIN supports r ON r.items = less.rest JOIN supports o ON o.items = [less.c], b
+  WHERE 100 * less.support >= 10 * r.support AND less.support * b > r.support * o.support
+), told AS (
+  SELECT items, count(*) AS n_rules, arg_min(c, (a, c)) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS said FROM rules GROUP BY items
+)
+SELECT array_to_string(shut.items, ',') AS items, len(shut.items)::BIGINT AS n_items, shut.support::BIGINT AS support, coalesce(n_rules, 0)::BIGINT AS n_rules, best_item,
+  sha256(coalesce(said, '')) AS rules_sha256
+FROM shut LEFT JOIN told ON told.items = shut.items
+""",
+)
+def op11_nlist_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").where("not flag <=> 'returned'")
+    found = baskets.closed(lines, Scratch(spark, "op11"), "sale_id", "item_id")
+    said = F.transform("rules", lambda r: F.concat_ws(":", r["c"], r["a"], r["s"]))
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"].alias("a"), r["c"].alias("c"))))["c"]
+    return found.select(F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), F.size("items").cast("long").alias("n_items"), "support", F.size("rules").cast("long").alias("n_rules"), best.alias("best_item"), digest(F.concat_ws(";", said)).alias("rules_sha256"))
+
+
+#: The columns of a leaf, in their order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, x:
+    list_reduce(list_prepend(xor(acc, x), list_transform(range(8), lambda k: k::BIGINT)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS v FROM documents
+), listed AS (
+  SELECT doc_id, source, n_chars, lang, text, coalesce(xor(v, 4294967295) % 5 = 0, false) AS hit FROM documents LEFT JOIN crc USING (doc_id)
+), leaves AS (
+  SELECT doc_id, source, hit,
+    sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')
+      || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS other FROM listed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), levels AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY i) AS d FROM ranked GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range(0, len(d), 16), lambda k: sha256(array_to_string(d[k + 1:k + 16], ''))) FROM levels WHERE len(d) > 1
+), walk AS (
+  SELECT doc_id, source, leaf, i, 0 AS level, i AS place, CASE WHEN hit THEN other ELSE leaf END AS folded, '' AS proof FROM ranked
+  UNION ALL
+  SELECT doc_id, w.source, leaf, i, w.level + 1, place // 16,
+    sha256(array_to_string(d[place // 16 * 16 + 1:place], '') || folded || array_to_string(d[place + 2:place // 16 * 16 + 16], '')),
+    proof || array_to_string(d[place // 16 * 16 + 1:place], '') || array_to_string(d[place + 2:place // 16 * 16 + 16], '')
+  FROM walk w JOIN levels l ON l.source IS NOT DISTINCT FROM w.source AND l.level = w.level WHERE len(d) > 1
+), subroots AS (
+  SELECT source, level, d[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM levels WHERE len(d) = 1
+), tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY k) AS d FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(d), 16), lambda k: sha256(array_to_string(d[k + 1:k + 16], ''))) FROM tops WHERE len(d) > 1
+), climb AS (
+  SELECT doc_id, i, w.source, leaf, subroot, k AS place, 0 AS level, folded, proof FROM walk w JOIN subroots s ON s.source IS NOT DISTINCT FROM w.source AND s.level = w.level
+  UNION ALL
+  SELECT doc_id, i, source, leaf, subroot, place // 16, c.level + 1,
+    sha256(array_to_string(d[place // 16 * 16 + 1:place], '') || folded || array_to_string(d[place + 2:place // 16 * 16 + 16], '')),
+    proof || array_to_string(d[place // 16 * 16 + 1:place], '') || array_to_string(d[place + 2:place // 16 * 16 + 16], '')
+  FROM climb c JOIN tops t ON t.level = c.level WHERE len(d) > 1
+)
+SELECT doc_id, leaf, subroot, d[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d[1] AS verified
+FROM climb c JOIN tops t ON t.level = c.level WHERE len(d) = 1
+""",
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(docs, Scratch(spark, "op12"), LEAF, tampered={"text": F.translate("text", upper, lower)}, when=hit)
+
+
+@query("op13_distinct_pieces")
+def op13_distinct_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), then=bpe.digests, schema=bpe.DIGESTS)
