@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,8 +55,10 @@ _AGAIN = re.compile(r"(?:\[[^\]\n]*\])?[\x20\t]+=(?=[\x20\t])|(?:\[[^\]\n]*\])?=
 _REFERENCE = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|\(([A-Za-z_]\w*)\)|([A-Za-z_]\w*))", re.ASCII)
 _BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[0-9]?[+-]?[\x20\t]*\n")
 _BELOW = re.compile(r"[\x20\t]*\n([\x20\t]+)([\"']?)([^\s:\"'#][^\s\"']*)\2[\x20\t]*(?=\n|\Z)")
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>")
-_ENTRY = re.compile(r"<[^<>]*?\b(?:key|name|id)\s*=\s*([\"'])([^\"'<>]*)\1[^<>]*?\bvalue\s*=\s*([\"'])([^\"'<>]*)\3")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
+_TAG = re.compile(r"<[^<>]*")
+_KEY, _VALUE = (re.compile(rf"\b(?:{names})\s*=\s*([\"'])([^\"'<>]*)\1") for names in ("key|name|id", "value"))
+_INDENT = re.compile(r"[ \t-]*")
 _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -89,7 +92,24 @@ def value_score(counts: Counter) -> int:
     return (kinds >= 2) + (kinds >= 3) + (bits >= 3.0) + (n >= 16 and bits >= 3.5)
 
 
-def target(text: str, end: int) -> str | None:
+class Lines:
+    """Where the lines of a text start, and how far they are indented; a long line is gone through once, not from each of its places."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.starts, self.indents = text, [0, *(m.end() for m in re.finditer("\n", text))], {}
+
+    def start(self, i: int) -> int:
+        return self.starts[bisect_right(self.starts, i) - 1]
+
+    def indent(self, i: int) -> int:
+        """Blanks and list marks at the start of the line, up to place i."""
+        line = self.start(i)
+        if line not in self.indents:
+            self.indents[line] = _INDENT.match(self.text, line).end()
+        return min(self.indents[line], i) - line
+
+
+def target(text: str, end: int, lines: Lines) -> str | None:
     """The name that stands before a sign at end: a (dotted) name, a quoted key, or the key of the last subscript."""
     i = end
     while i and text[i - 1] in " \t":
@@ -97,7 +117,7 @@ def target(text: str, end: int) -> str | None:
     if i and text[i - 1] == "]":
         i -= 1
     if i and text[i - 1] in "\"'":
-        start = text.rfind(text[i - 1], text.rfind("\n", 0, i) + 1, i - 1)
+        start = text.rfind(text[i - 1], lines.start(i - 1), i - 1)
         return text[start + 1 : i - 1] if start >= 0 else None
     stop = i
     while i and (text[i - 1].isascii() and text[i - 1].isalnum() or text[i - 1] in "_.-"):
@@ -113,7 +133,8 @@ class Values:
     after a later sign (`a = b = "x"`, `a: str = "x"`), or ("?",) for what can't be known, such as a call.
     """
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, lines: Lines) -> None:
+        self.lines = lines
         self.text, self.ahead, self.stop, self.counts = text, len(text), len(text), Counter()
         self.scores: dict[tuple[int, int], int] = {}  # of unquoted values
 
@@ -137,8 +158,7 @@ class Values:
     def after(self, sign: re.Match) -> list[tuple]:
         text, i = self.text, sign.end()
         if sign.group() == ":":
-            line = text.rfind("\n", 0, i) + 1
-            indent = len(text[line:i]) - len(text[line:i].lstrip(" \t-"))
+            indent = self.lines.indent(i)
             if m := _BLOCK.match(text, i):
                 return self.block(m.end(), indent)
             if (m := _BELOW.match(text, i)) and len(m[1]) > indent:
@@ -212,15 +232,20 @@ class Values:
 
 def pairs_of(text: str) -> tuple[list[tuple[int, str, list[tuple]]], dict[tuple[int, int], int]]:
     """(place, name, value) of each assignment, entry and element, in order; and the scores of unquoted values."""
-    read, out = Values(text), []
+    lines = Lines(text)
+    read, out = Values(text, lines), []
     for sign in reversed(list(_SIGN.finditer(text))):
-        name = target(text, sign.start())
+        name = target(text, sign.start(), lines)
         if name is not None and text[sign.end() : sign.end() + 2] != "//":
             out.append((sign.start(), name, read.after(sign)))
     if "</" in text:
-        out += [(m.start(), m[1], [("text", m.start(2), m.end(2))]) for m in _ELEMENT.finditer(text)]
+        for m in _ELEMENT.finditer(text):
+            start = m.end(2) - len(m[2].lstrip())
+            out.append((m.start(), m[1], [("text", start, start + len(m[2].strip()))]))
     if "value" in text and "<" in text:
-        out += [(m.start(), m[2], [("text", m.start(4), m.end(4))]) for m in _ENTRY.finditer(text)]
+        for m in _TAG.finditer(text):
+            if (key := _KEY.search(text, m.start(), m.end())) and (value := _VALUE.search(text, key.end(), m.end())):
+                out.append((m.start(), key[2], [("text", value.start(2), value.end(2))]))
     out.sort(key=lambda x: x[0])
     return out, read.scores
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_keys, parts_of
 
-#: Bytes of a gram; the longer, the fewer chance repeats and the more anchors.
+#: Bytes of a gram, or half of the length if that is less; the longer, the fewer chance repeats and the more anchors.
 GRAM = 40
 #: Bytes looked at together, at most unless one document is longer.
 BLOCK = 2_000_000
@@ -58,9 +58,10 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, gram: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, first start, starts - 1) of each anchor: runs of starts in a document whose strings have it."""
     none = np.zeros(0, np.int64)
+    gram = gram or min(GRAM, max(1, length // 2))
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
     h = gram_hashes(data, gram)
@@ -133,7 +134,7 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
             for x, y in blocks(sizes):
                 part = data[offset[x] : offset[y]]
                 key, doc, first, more = anchors(part, offset[x:y] - offset[x], sizes[x:y], length)
-                got.append((key, doc + x, first.astype(np.int32), more.astype(np.uint8)))
+                got.append((key, doc + x, first.astype(np.int32), more.astype(np.int32)))
             if not got:
                 continue
             key, doc, first, more = (np.concatenate(z) for z in zip(*got))
@@ -158,11 +159,11 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
                 c = common[np.searchsorted(shared, k) : np.searchsorted(shared, k, "right")]
                 d = ids[doc[r]]
                 cut = np.flatnonzero(np.diff(doc[r], prepend=-1))
-                rows.append((int(k), key[r].tobytes() + c.tobytes(), d[cut].astype("<i8").tobytes(), np.diff(np.append(cut, len(r))).astype("<i4").tobytes(), first[r].astype("<i4").tobytes(), more[r].tobytes()))
+                rows.append((int(k), key[r].tobytes() + c.tobytes(), d[cut].astype("<i8").tobytes(), np.diff(np.append(cut, len(r))).astype("<i4").tobytes(), first[r].astype("<i4").tobytes(), more[r].astype("<i4").tobytes()))
             # places that are known already travel as they are
             for at in range(0, len(known), 20_000):
                 r = known[at : at + 20_000]
-                rows.append((-1 - int(at // 20_000 % owned), key[r].tobytes(), ids[doc[r]].astype("<i8").tobytes(), b"", first[r].astype("<i4").tobytes(), more[r].tobytes()))
+                rows.append((-1 - int(at // 20_000 % owned), key[r].tobytes(), ids[doc[r]].astype("<i8").tobytes(), b"", first[r].astype("<i4").tobytes(), more[r].astype("<i4").tobytes()))
             names = ["bucket", "keys", "ids", "times", "first", "more"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], names=names)
 
@@ -170,7 +171,7 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
         keys, ids, firsts, mores = [], [], [], []
         for b in batches:
             for bucket, k, i, t, f, m in zip(*(b.column(j).to_pylist() for j in range(6))):
-                k, i, f, m = np.frombuffer(k, np.uint64), np.frombuffer(i, "<i8"), np.frombuffer(f, "<i4"), np.frombuffer(m, np.uint8)
+                k, i, f, m = np.frombuffer(k, np.uint64), np.frombuffer(i, "<i8"), np.frombuffer(f, "<i4"), np.frombuffer(m, "<i4")
                 if bucket < 0:
                     yield marks_of(i, k, f, m)
                     continue
@@ -178,7 +179,7 @@ def find_marks(docs: DataFrame, length: int, parts: int) -> DataFrame:
                 rest = np.full(len(k) - len(f), -1, np.int32)
                 ids.append(np.append(np.repeat(i, np.frombuffer(t, "<i4")), np.zeros(len(rest), np.int64)))
                 firsts.append(np.append(f, rest))
-                mores.append(np.append(m, np.zeros(len(rest), np.uint8)))
+                mores.append(np.append(m, np.zeros(len(rest), np.int32)))
         if keys:
             key = np.concatenate(keys)
             order = np.argsort(key, kind="stable")
@@ -267,10 +268,12 @@ def later_starts(parts: list[bytes], ids: np.ndarray, first: np.ndarray, length:
     n = np.diff(np.append(lead, len(by)))
     i0, s0 = np.repeat(i[by][lead], n), np.repeat(s[by][lead], n)
     dup = by[(i[by] != i0) | (s[by] != s0)]
+    if not len(dup):  # segments with a key in common need not have a string in common
+        return []
     i, s = i[dup], s[dup]
     by = np.lexsort((s, i))
     i, s = i[by], s[by]
-    new = np.flatnonzero((np.diff(i, prepend=~i[:1]) != 0) | (np.diff(s, prepend=s[:1]) > 1)) if len(i) else np.zeros(0, np.int64)
+    new = np.flatnonzero((np.diff(i, prepend=~i[:1]) != 0) | (np.diff(s, prepend=s[:1]) > 1))
     end = np.append(new[1:], len(i)) - 1
     return list(zip(i[new].tolist(), s[new].tolist(), (s[end] + length).tolist()))
 
@@ -378,9 +381,11 @@ def cut_out(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     and text are one document; rows with the same id and other text have the same ranges taken. Texts shorter
     than length stay whole. Other columns are not read. An empty table gives no rows.
 
-    Copies of a whole text are told by its hash and one with the smallest id is looked at; the others are removed
+    length: from 2 on. Copies of a whole text are told by its hash and one with the smallest id is looked at; the others are removed
     whole if they are long enough.
     """
+    if length < 2:
+        raise ValueError("strings have at least two bytes")
     text = F.coalesce("text", F.lit(""))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id")
     sha = F.sha2(text.cast("binary"), 256)

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -146,3 +147,26 @@ def test_query(spark):
         said = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
         assert x["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert set(filter(None, said.split(","))) <= set(x["spans"].split(","))
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        lambda n: "password = x\n<a>" + " " * n + "<b> key </b>", lambda n: "<a>" + " " * n + "password</a ", lambda n: "<a secret=1 " + 'key="" ' * (n // 7), lambda n: "<x key='token' " + "value= " * (n // 7),
+        lambda n: "{" + '"token": "abc", ' * (n // 16) + "}", lambda n: "{" + "'a': 1, \"token\": 2, " * (n // 21) + "}", lambda n: " " * n + "token: x" + ": y" * 1000, lambda n: "- " * (n // 4) + "key:" * (n // 8), lambda n: "secret" + " =" * (n // 2),
+    ],
+)
+def test_odd_shapes_take_no_longer_than_their_length(shape):
+    import time
+
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.process_time()
+        secrets.named_spans(shape(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 0.3 or took[1] < 8 * took[0], took
+
+
+def test_blanks_around_values_of_elements():
+    text = "<secret>\n  aB3dE6gH9jK2mN5p \t</secret> <add key='password' x value = 'aB3dE6gH9jK2mN5p'/>"
+    assert [text[a:b] for a, b, _ in secrets.named_spans(text)] == ["aB3dE6gH9jK2mN5p"] * 2

@@ -78,3 +78,20 @@ def test_spans_and_kept_bytes(spark):
         gone = [x for lo, hi in zip(r["lo"], r["hi"]) for x in range(lo, hi)]
         assert bytes(x for k, x in enumerate(raw[i]) if k not in gone) == kept[i]
     assert (got[3]["lo"], got[3]["hi"]) == ([0], [len(raw[3])])
+
+
+@pytest.mark.parametrize("n", [2, 12, 40, 100, 296, 400])
+def test_passages_about_as_long_as_the_strings(spark, n):
+    """Pairs that share a bit less, as much and a bit more than a string, or nothing at all."""
+    rng = np.random.default_rng(n)
+    word = lambda k: bytes(rng.integers(97, 123, k).astype(np.uint8)).decode()
+    for k, shared in enumerate([n // 2 - 1, n // 2 + 1, 45, 70, n - 1, n, n + 1, 0, 3 * n]):
+        p = word(max(shared, 0))
+        rows = [(1, word(170) + p + word(180)), (2, word(150) + p + word(210)), (3, word(90))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert ran(df, f"p{k}", n) == brute(rows, n), shared
+
+
+def test_too_short_strings(spark, odd, scratch):
+    with pytest.raises(ValueError):
+        suffix.cut_out(odd, scratch, 1)
