@@ -72,15 +72,3 @@ def analysed(samples_: DataFrame, key: str, lines: str = "lines") -> DataFrame:
     """key, pos, form, info of an external analyser's lines, one a token: form{analysis}."""
     line = samples_.select(key, F.posexplode(F.filter(F.split(lines, "\n"), lambda x: x != "")).alias("pos", "line"))
     return line.select(key, "pos", tokens.form_of(F.col("line")).alias("form"), tokens.info_of(F.col("line")).alias("info"))
-
-
-def chunks(text: str, limit: int = 40_000) -> list[str]:
-    """Pieces of at most limit characters for a piped analyser, cut after the last white space of each window."""
-    out, at = [], 0
-    while len(text) - at > limit:
-        cut = max(text.rfind(c, at, at + limit) for c in "  \n\t")
-        if cut <= at:
-            raise ValueError("no white space to cut at")
-        out.append(text[at : cut + 1])
-        at = cut + 1
-    return [*out, text[at:]]

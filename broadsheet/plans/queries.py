@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import markup, tokens
 from broadsheet.functions.tokens import LATIN
-from broadsheet.operators import catalog, dataset, embed, lexical, model, samples
+from broadsheet.operators import boosting, catalog, dataset, embed, factors, lexical, model, samples
+from broadsheet.sources.tables import Tables
 
 from .catalogue import query, table
 
@@ -623,3 +624,87 @@ def word_vectors(spark, sf_dir):
     rows = lexemes_of(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("x"))
     fit = embed.train_vectors(rows.select(F.transform("x", lambda r: r["word"]).alias("lexemes")), rounds=1)
     return fit.getVectors().select("word", F.size(vector_to_array("vector")).alias("dims"))
+
+
+# --- boosted trees of second order, on both kinds of matrices
+
+
+def lexical_matrix(spark, sf_dir):
+    """doc_id, label, part, entries of labelled documents: lexical features by their index, absent ones missing."""
+    feats = Tables(spark, "lexical").keep(features_of(spark, sf_dir), "features")
+    rounded = feats.withColumn("value", F.round("value", 6))
+    rows = lexical.sparse_rows(rounded, vocab_of(spark, sf_dir, feats), "doc_id")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
+    none = F.array().cast("array<struct<idx: int, value: double>>")
+    return labelled.join(rows, "doc_id", "left").withColumn("entries", F.coalesce(F.col("entries").cast("array<struct<idx: int, value: double>>"), none))
+
+
+@query(
+    "boosted_gains",
+    f"""WITH {ALL_FEATURES}, {SPLIT} {VOCAB}, learned AS (SELECT doc_id, quality AS y FROM labels JOIN split USING (doc_id) WHERE part = 'train'),
+m AS (SELECT doc_id, idx, round(value, 6) AS value, y FROM feats JOIN vocab USING (feature) JOIN learned USING (doc_id)),
+by_value AS (SELECT idx, value, row_number() OVER (PARTITION BY idx ORDER BY value) AS r, count(*) OVER (PARTITION BY idx) AS n FROM m),
+cuts AS (SELECT DISTINCT idx, value AS cut FROM by_value JOIN (SELECT unnest(range(1, 64)) AS k) ON r = greatest(1, (k * n + 63) // 64)),
+b AS (SELECT idx, doc_id, y, min(cut) FILTER (cut >= value) AS cut FROM m JOIN cuts USING (idx) GROUP BY idx, doc_id, y, value),
+s AS (SELECT idx, cut, sum(0.5 - y)::DOUBLE AS g, count(*) AS n FROM b GROUP BY idx, cut),
+t AS (SELECT sum(0.5 - y)::DOUBLE AS gt, count(*) AS nt FROM learned),
+u AS (SELECT idx, cut, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY idx) AS ga, sum(n) OVER (PARTITION BY idx) AS na FROM s WINDOW w AS (PARTITION BY idx ORDER BY cut NULLS LAST)),
+c AS (SELECT idx, cut, missing_left, gt, nt, gl + CASE WHEN missing_left THEN gt - ga ELSE 0 END AS gx, nl + CASE WHEN missing_left THEN nt - na ELSE 0 END AS nx
+  FROM u, t, (SELECT unnest([false, true]) AS missing_left) WHERE nt > na OR NOT missing_left)
+SELECT idx, cut, missing_left, round(gx * gx / (nx * 0.25 + 5) + (gt - gx) * (gt - gx) / ((nt - nx) * 0.25 + 5) - gt * gt / (nt * 0.25 + 5), 6) AS gain
+FROM c WHERE nx < nt AND nx * 0.25 >= 1 AND (nt - nx) * 0.25 >= 1""",
+)
+def boosted_gains(spark, sf_dir):
+    return boosting.root_gains(lexical_matrix(spark, sf_dir)).withColumn("gain", F.round("gain", 6))
+
+
+#: As in a search: 150 rounds at a larger step, the other parameters as in the final fit.
+BOOSTED = boosting.Params(rounds=model.SEARCH_ROUNDS, step=model.SEARCH_STEP)
+
+
+@query("boosted_scores")
+def boosted_scores(spark, sf_dir):
+    rows = lexical_matrix(spark, sf_dir)
+    fit, _ = boosting.fit(rows, Tables(spark, "boosted"), BOOSTED)
+    return boosting.score(rows.where("part = 'test'"), fit, ["doc_id", "label"]).withColumn("probability", F.round("probability", 6))
+
+
+@query("boosted_curve")
+def boosted_curve(spark, sf_dir):
+    rows = embed.dense_rows(embed.pooled(looked_up(spark, sf_dir), "doc_id"), "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = rows.join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
+    _, curve = boosting.fit(rows.withColumn("entries", boosting.entries_of(F.col("features"))), Tables(spark, "boosted"), BOOSTED)
+    return curve
+
+
+# --- vectors by factorisation
+
+
+def known_of(spark, sf_dir):
+    return factors.vocabulary(embed.ranked(embed.word_counts(lexemes_of(spark, sf_dir))))
+
+
+def samples_of(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), F.lower).alias("words"))
+
+
+NEAR = f"""{LOW}, counts AS (SELECT w, count(*) AS n FROM low GROUP BY w HAVING count(*) >= 23 ORDER BY n DESC, w LIMIT 25000), k AS (SELECT low.* FROM low SEMI JOIN counts USING (w)),
+near AS (SELECT a.w AS x, b.w AS y, 1.0 / (b.pos - a.pos) AS weight FROM k a JOIN (SELECT doc_id, w, pos, unnest(range(pos - 15, pos)) AS near FROM k) b ON a.doc_id = b.doc_id AND a.pos = b.near),
+sums AS (SELECT "left", "right", sum(weight)::DOUBLE AS weight FROM (SELECT x AS "left", y AS "right", weight::DOUBLE AS weight FROM near UNION ALL SELECT y, x, weight::DOUBLE FROM near) GROUP BY ALL)"""
+
+
+@query("weighted_pairs", f"""WITH {NEAR} SELECT "left", "right", round(ln(weight), 6) AS y, round(least(1.0, pow(weight / 100, 0.75)), 6) AS f FROM sums""")
+def weighted_pairs(spark, sf_dir):
+    known = known_of(spark, sf_dir)
+    pairs = factors.weighted(factors.pair_sums(samples_of(spark, sf_dir), "words", known))
+    names = spark.createDataFrame([(i, w) for w, i in known.items()], "id int, word string")
+    left, right = (F.broadcast(names.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word"))) for c in ("left", "right"))
+    return pairs.join(left, "left").join(right, "right").select(F.col("left_word").alias("left"), F.col("right_word").alias("right"), F.round("y", 6).alias("y"), F.round("f", 6).alias("f"))
+
+
+@query("factor_vectors")
+def factor_vectors(spark, sf_dir):
+    known = known_of(spark, sf_dir)
+    pairs = factors.weighted(factors.pair_sums(samples_of(spark, sf_dir), "words", known))
+    fitted, _ = factors.fit(pairs, known, Tables(spark, "factors"))
+    return factors.vectors(fitted, known).select("word", *[F.round(F.get("vec", F.lit(d)), 4).alias(f"v{d}") for d in range(embed.DIMENSIONS)])
