@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import markup, tokens
+from broadsheet.operators.counters import Counters
 
 # Characters that a marked sample has at least, that a section and a whole page exceed, that a raw section has
 # at least, and beyond which a page is cut into sections.
@@ -31,12 +32,26 @@ def passes(origin: Column, cleaned: Column) -> Column:
     return F.when(origin == "marked", n >= MARKED_LEAST).when(origin == "sections", n > SECTION_OVER).otherwise(n > PAGE_OVER)
 
 
-def samples(pages: DataFrame, emit_tail: bool = False) -> DataFrame:
+#: What route() gives.
+ORIGINS = ("marked", "sections", "page")
+
+
+def counted_passes(rows: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """The rows (origin, text) that are long enough. counters get the rows of each origin, those that are rejected, and what is kept."""
+    good = F.coalesce(passes(F.col("origin"), F.col("text")), F.lit(False))
+    if counters is None:
+        return rows.where(good)
+    seen = {o: F.count_if(F.col("origin") == o) for o in ORIGINS} | {f"rejected_{o}": F.count_if((F.col("origin") == o) & ~good) for o in ORIGINS}
+    return counters.watch(counters.watch(rows, "routed", **seen).where(good), "kept", chars=F.sum(F.length("text")))
+
+
+def samples(pages: DataFrame, emit_tail: bool = False, counters: Counters | None = None) -> DataFrame:
     """page_seq, title, origin, label, part, text from pages (page_seq, ns, title, raw_text).
 
     Articles only; a marked one gives its marked section, a long one its sections, any other itself. Cheap tests
     come before cleaning, which runs once a row. The marker counts in the body only. One narrow stage without a shuffle.
     """
+    pages = pages if counters is None else counters.watch(pages, "pages", articles=F.count_if(F.col("ns") == 0))
     marker = re.compile(MARKER, re.IGNORECASE)
 
     def pieces(origin: str, text: str) -> list[str | None]:
@@ -52,7 +67,7 @@ def samples(pages: DataFrame, emit_tail: bool = False) -> DataFrame:
     rows = kept.withColumn("raw", cut("origin", "raw_text")).select("page_seq", "title", "origin", F.posexplode("raw").alias("part", "raw"))
     rows = rows.where((F.col("origin") != "sections") | (F.length("raw") >= RAW_SECTION_LEAST))
     rows = rows.withColumn("text", markup.clear(F.col("raw")))
-    return rows.where(passes(F.col("origin"), F.col("text"))).select("page_seq", "title", "origin", (F.col("origin") == "marked").cast("int").alias("label"), "part", "text")
+    return counted_passes(rows, counters).select("page_seq", "title", "origin", (F.col("origin") == "marked").cast("int").alias("label"), "part", "text")
 
 
 def spread(df: DataFrame) -> DataFrame:

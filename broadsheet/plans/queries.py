@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions import markup, tokens
+from broadsheet.functions import blocks, markup, tokens
 from broadsheet.functions.tokens import LATIN
 from broadsheet.operators import boosting, catalog, dataset, embed, factors, lexical, model, samples
+from broadsheet.operators.counters import Counters
 from broadsheet.sources.tables import Tables
 
 from .catalogue import query, table
@@ -708,3 +709,48 @@ def factor_vectors(spark, sf_dir):
     pairs = factors.weighted(factors.pair_sums(samples_of(spark, sf_dir), "words", known))
     fitted, _ = factors.fit(pairs, known, Tables(spark, "factors"))
     return factors.vectors(fitted, known).select("word", *[F.round(F.get("vec", F.lit(d)), 4).alias(f"v{d}") for d in range(embed.DIMENSIONS)])
+
+
+# --- nested blocks and counters
+
+
+@query(
+    "nested_blocks",
+    r"""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?i:<\s*div\b[^>/]*>)|(?i:<\s*/\s*div>)') AS marks, string_split_regex(html, '(?i:<\s*div\b[^>/]*>)|(?i:<\s*/\s*div>)') AS parts FROM pages WHERE regexp_matches(html, '(?i:<\s*div\b[^>/]*>)')),
+r AS (SELECT page_id, parts[1] AS head, unnest(range(len(marks))) AS k, unnest(marks) AS mark, unnest(parts[2:]) AS after FROM m),
+s AS (SELECT *, CASE WHEN regexp_matches(mark, '^<\s*/') THEN -1 ELSE 1 END AS step FROM r),
+t AS (SELECT *, sum(step) OVER w AS total FROM s WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+d AS (SELECT *, total - least(0, min(total) OVER w) AS depth FROM t WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+b AS (SELECT *, coalesce(lag(depth) OVER w, 0) AS before FROM d WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+o AS (SELECT *, max(k) FILTER (step = 1 AND before = 0) OVER w AS start, arg_max(depth, k) OVER (PARTITION BY page_id) AS final FROM b WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+u AS (SELECT *, max(start) OVER (PARTITION BY page_id) AS latest FROM o),
+e AS (SELECT *, final > 0 AND start = latest AS inside FROM u),
+x AS (SELECT *, coalesce(max(k) FILTER (coalesce(inside, false) AND step = -1) OVER (PARTITION BY page_id), -1) AS stop FROM e),
+kept AS (SELECT page_id, k, head, CASE WHEN coalesce(inside, false) AND k > stop OR step = -1 AND before = 0 THEN mark ELSE '' END AS mark,
+  CASE WHEN coalesce(inside, false) AND k >= stop OR depth = 0 THEN after ELSE '' END AS after FROM x)
+SELECT page_id, any_value(head) || string_agg(mark || after, '' ORDER BY k) AS text FROM kept GROUP BY page_id
+UNION ALL SELECT page_id, html FROM pages WHERE NOT coalesce(regexp_matches(html, '(?i:<\s*div\b[^>/]*>)'), false)""",
+)
+def nested_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    return blocks.drop_nested(pages, "page_id", "text", *blocks.elements("div"))
+
+
+@query(
+    "sample_counts",
+    """WITH r AS (SELECT length(text) AS n, regexp_matches(text, '\\{\\{реклама\\}\\}', 'i') AS marked FROM documents),
+o AS (SELECT n, CASE WHEN marked THEN 'marked' WHEN n > 2500 THEN 'sections' ELSE 'page' END AS origin FROM r),
+k AS (SELECT *, coalesce(CASE origin WHEN 'marked' THEN n >= 100 WHEN 'sections' THEN n > 100 ELSE n > 200 END, false) AS kept FROM o),
+c AS (SELECT count(*) AS rows, count(*) FILTER (origin = 'marked') AS marked, count(*) FILTER (origin = 'sections') AS sections, count(*) FILTER (origin = 'page') AS page,
+  count(*) FILTER (NOT kept AND origin = 'marked') AS rejected_marked, count(*) FILTER (NOT kept AND origin = 'sections') AS rejected_sections, count(*) FILTER (NOT kept AND origin = 'page') AS rejected_page,
+  count(*) FILTER (kept) AS kept, coalesce(sum(n) FILTER (kept), 0) AS chars FROM k)
+SELECT stage, counter, value::BIGINT AS value FROM c, LATERAL (VALUES ('routed', 'rows', c.rows), ('routed', 'marked', marked), ('routed', 'sections', sections), ('routed', 'page', page),
+  ('routed', 'rejected_marked', rejected_marked), ('routed', 'rejected_sections', rejected_sections), ('routed', 'rejected_page', rejected_page), ('kept', 'rows', kept), ('kept', 'chars', chars)) v(stage, counter, value)""",
+)
+def sample_counts(spark, sf_dir):
+    counters = Counters(spark)
+    rows = docs(spark, sf_dir).select("doc_id", "text", samples.route(F.col("text")).alias("origin"))
+    kept = samples.counted_passes(rows, counters)
+    # the counts are of the job that writes the samples
+    Tables(spark, "samples").keep(kept, "kept")
+    return counters.report()

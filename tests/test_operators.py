@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import tokens
 from broadsheet.operators import catalog, dataset, embed, lexical, model, samples
+from broadsheet.operators.counters import Counters
 from broadsheet.sources import readers, writers
 from broadsheet.streaming import scoring
 
@@ -32,6 +33,11 @@ def test_dump_to_samples(spark, dump):
     got = samples.samples(pages).collect()
     found = sorted((r["title"], r["origin"], r["label"]) for r in got)
     assert found == [("Ad", "marked", 1), ("Just", "page", 0), ("Long", "sections", 0), ("Long", "sections", 0), ("T{{реклама}}", "page", 0)]
+    counters = Counters(spark)
+    samples.samples(pages, counters=counters).collect()
+    told = {(r["stage"], r["counter"]): r["value"] for r in counters.report().collect()}
+    assert told["pages", "rows"] == 8 and told["pages", "articles"] == 7 and told["kept", "rows"] == 5
+    assert (told["routed", "rejected_marked"], told["routed", "rejected_page"]) == (1, 2)
     assert len([r for r in samples.samples(pages, emit_tail=True).collect() if r["title"] == "Long"]) == 3
 
 

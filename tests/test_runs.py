@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import catalog, model
+from broadsheet.operators import catalog, lexical, model
 from broadsheet.sources import readers, runs, writers
 
 
@@ -97,3 +97,36 @@ def test_models_are_saved_with_reports(spark, tmp_path):
     counts = spark.createDataFrame([(0, 2), (1, 1)], "idx int, splits int")
     with pytest.raises(Exception, match="no name of feature 1"):
         model.named_importance(counts, spark.createDataFrame([(0, "a b")], "idx int, feature string")).collect()
+
+
+def test_a_model_is_bound_to_its_vocabulary(spark, tmp_path):
+    kinds = "feature string, idx int"
+    rows = [("1gram-a", 0), ("length", 1), ("2gram-a-b", 2)]
+    vocab = spark.createDataFrame(rows, kinds)
+    assert runs.vocabulary_hash(vocab) == runs.vocabulary_hash(spark.createDataFrame(rows[::-1], kinds).repartition(3))
+    others = [rows[:2], [("1gram-a", 1), ("length", 0), rows[2]], [*rows, ("x", 3)], []]
+    assert len({runs.vocabulary_hash(spark.createDataFrame(o, kinds)) for o in [rows, *others]}) == 5
+    data, other, fitted = (runs.new_run(spark, f"{tmp_path}/{n}") for n in ("data", "other", "model"))
+    runs.save_vocabulary(spark, data, vocab)
+    runs.save_vocabulary(spark, other, spark.createDataFrame(others[1], kinds))
+    # extraction with what was loaded: features that it lacks are dropped, and numbers stay
+    loaded = runs.load_vocabulary(spark, data)
+    feats = spark.createDataFrame([(1, "1gram-a", 2.0), (1, "new", 1.0), (2, "2gram-a-b", 3.0)], "doc_id int, feature string, value double")
+    assert sorted(map(tuple, lexical.indexed(feats, loaded, "doc_id").collect())) == [(1, 0, 2.0), (2, 2, 3.0)]
+    runs.bind(spark, fitted, data)
+    runs.check_bound(spark, fitted, data)
+    for x, y in ((fitted, other), (other, data)):
+        with pytest.raises(runs.OtherVocabulary):
+            runs.check_bound(spark, x, y)
+    writers.vocabulary(spark.createDataFrame(others[0], kinds), f"{data}/vocabulary")
+    with pytest.raises(runs.OtherVocabulary):
+        runs.load_vocabulary(spark, data)
+
+
+def test_notes_of_writers_at_once(spark, tmp_path):
+    from multiprocessing.pool import ThreadPool
+
+    run = runs.new_run(spark, str(tmp_path))
+    with ThreadPool(4) as pool:
+        pool.map(lambda k: runs.note(spark, run, **{f"n{k}": k}), range(6))
+    assert runs.notes(spark, run) == {f"n{k}": k for k in range(6)}
