@@ -40,6 +40,31 @@ def set_index(df: DataFrame, path: str, compression: str | None = "bzip2") -> No
     _text(df, F.concat_ws("\n", F.col("label").cast("string"), "source", F.lit(SEPARATOR)), path, compression)
 
 
+def wiki_dump(df: DataFrame, path: str, compression: str | None = "bzip2") -> None:
+    """Pages (title, ns, text) as a dump has them; markup signs in bodies are escaped."""
+    body = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(sign), F.lit(name))
+    head = F.concat(F.lit("  <page>\n    <title>"), "title", F.lit("</title>\n    <ns>"), F.col("ns").cast("string"), F.lit("</ns>\n"))
+    _text(df, F.concat(head, F.lit('      <text xml:space="preserve">'), body, F.lit("</text>\n  </page>")), path, compression)
+
+
+def ad_corpus(df: DataFrame, path: str, compression: str | None = "bzip2") -> None:
+    """source, text as a corpus of web pages."""
+    _text(df, F.concat(F.lit('    <page source="'), "source", F.lit('">\n'), "text", F.lit("\n    </page>")), path, compression)
+
+
+def analysed(df: DataFrame, path: str, compression: str | None = "bzip2") -> None:
+    """Samples' token lines (lines), each sample ended by the separator."""
+    _text(df, F.concat_ws("\n", "lines", F.lit(SEPARATOR)), path, compression)
+
+
+def vectors(df: DataFrame, path: str, order: str) -> None:
+    """word, vec as lines of a word and its numbers, in the order of a column."""
+    lines = df.orderBy(order)
+    _text(lines, F.concat_ws(" ", "word", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")), path, None)
+
+
 def vocabulary(df: DataFrame, path: str) -> None:
     """name:index lines; a colon in a name can't be read back."""
     name = F.when(F.contains("feature", F.lit(":")), F.raise_error(F.lit("a feature's name has a colon"))).otherwise(F.col("feature"))
