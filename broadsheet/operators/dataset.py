@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.sources.tables import Tables
+
 # Label and share of test rows by origin, and whether its training rows make the vocabulary.
 POLICY = [("wiki-ads", 1, 1.0, False), ("web-ads", 1, 0.0, True), ("non-ads", 0, 0.4, True)]
 SHARDS, FOLDS = 8, 3
-#: Rows of a range in which rows are ranked.
-CELL_ROWS = 4096
+#: Digits of a hash that tell its range: 16 ** 5 ranges, each ranked by itself.
+CELL_DIGITS = 5
 
 
 def policy(spark) -> DataFrame:
@@ -27,8 +29,7 @@ def exact_split(rows: DataFrame, key: str, origin: str, share: float | None = No
             raise ValueError("a share is under a half, or 1")
         rows = rows.withColumn("test_share", F.lit(float(share)))
     h = F.md5(F.col(key).cast("string"))
-    digits = max(3, len(f"{rows.count() // CELL_ROWS:x}"))  # ranges get narrower as rows get more
-    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, digits))
+    rows = rows.withColumn("h_", h).withColumn("cell_", F.substring("h_", 1, CELL_DIGITS))
     cells = rows.groupBy(origin, "cell_").agg(F.count("*").alias("c_"))
     w = Window.partitionBy(origin).orderBy("cell_")
     cells = cells.select(origin, "cell_", (F.sum("c_").over(w) - F.col("c_")).alias("before_"), F.sum("c_").over(Window.partitionBy(origin)).alias("n_"))
@@ -39,23 +40,18 @@ def exact_split(rows: DataFrame, key: str, origin: str, share: float | None = No
 
 
 def round_robin(rows: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
-    """rows with shard: in turn by the order of the key, an integer. A row's number is its rank in its range plus the rows of earlier ranges.
+    """rows with shard: in turn by the order of the key, of any type. A row's number is its rank in its range plus the rows of earlier ranges.
 
-    Ranges are equal cuts of the key from its smallest to its largest value, so many that one has CELL_ROWS rows of evenly
-    spread keys; their counts are summed up in groups of CELL_ROWS ranges, and only one row a group meets in one place.
+    Rows are dealt out by ranges of the key, whose ends follow from how keys are spread, so keys may stand in clusters; the
+    dealt rows are written down, and only one row a range meets in one place.
     """
-    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    low = float(ends["low"] or 0)
-    width = max(1.0, (float(ends["high"] or 0) - low) / max(1, ends["n"] // CELL_ROWS))
-    cell = F.floor((F.col(key).cast("double") - low) / width)
-    cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))
-    upper = cells.withColumn("top", F.floor(F.col("cell") / CELL_ROWS))
-    tops = upper.groupBy("top").agg(F.sum("c").alias("t"))
-    tops = tops.select("top", (F.sum("t").over(Window.orderBy("top")) - F.col("t")).alias("t0"))
-    w = Window.partitionBy("top").orderBy("cell")
-    starts = upper.withColumn("c0", F.sum("c").over(w) - F.col("c")).join(tops, "top").select("cell", (F.col("c0") + F.col("t0")).alias("start"))
-    own = F.row_number().over(Window.partitionBy("cell").orderBy(key))
-    return rows.withColumn("cell", cell).join(starts, "cell").withColumn("shard", F.pmod(F.col("start") + own - 1, F.lit(shards)).cast("int")).drop("cell", "start")
+    dealt = rows.repartitionByRange(key).withColumn("range_", F.spark_partition_id())
+    dealt = Tables(rows.sparkSession, "ranges").keep(dealt, "rows")
+    starts = dealt.groupBy("range_").agg(F.count("*").alias("c_"))
+    starts = starts.select("range_", (F.sum("c_").over(Window.orderBy("range_")) - F.col("c_")).alias("start_"))
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(key))
+    number = F.col("start_") + own - 1
+    return dealt.join(F.broadcast(starts), "range_").withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).drop("range_", "start_")
 
 
 def folds(rows: DataFrame, key: str, n: int = FOLDS) -> DataFrame:

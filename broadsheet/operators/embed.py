@@ -1,4 +1,4 @@
-"""Dense features: vocabulary of lexemes, co-occurrence, vector lookup, pooled moments, id-encoded samples."""
+"""Dense features: vocabulary of lexemes, vector lookup, pooled moments, id-encoded samples."""
 
 from __future__ import annotations
 
@@ -21,25 +21,12 @@ def ranked(counts: DataFrame) -> DataFrame:
     return counts.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("id"))
 
 
-def cooccurrence(words: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
-    """left, right, weight: each pair of words up to `window` apart in a sample adds one over its distance, both ways.
+def looked_up(words: DataFrame, vectors: DataFrame, unknown: Column, most: int | None = None) -> DataFrame:
+    """words with vec, that of the word or else `unknown`. vectors: word, vec; broadcast if they are no more than a vocabulary has.
 
-    The band comes from looking back inside of a sample, so no pair beyond it is ever made.
+    most: how many vectors there can be, where the caller knows; else they are counted.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    near = words.select("word", *[F.lag("word", d).over(w).alias(f"w{d}") for d in range(1, window + 1)])
-    pairs = near.select("word", F.explode(F.array(*[F.struct(F.col(f"w{d}").alias("other"), F.lit(1.0 / d).alias("weight")) for d in range(1, window + 1)])).alias("x")).where("word is not null and x.other is not null")
-    # each pair is summed up once, in one order, and put down both ways at the end
-    one = pairs.select(F.least("word", "x.other").alias("a"), F.greatest("word", "x.other").alias("b"), "x.weight")
-    sums = one.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("left"), F.col("b").alias("right"), (2 * F.col("weight")).alias("weight"))))
-    ways = ways.otherwise(F.array(F.struct(F.col("a").alias("left"), F.col("b").alias("right"), "weight"), F.struct(F.col("b").alias("left"), F.col("a").alias("right"), "weight")))
-    return sums.select(F.inline(ways))
-
-
-def looked_up(words: DataFrame, vectors: DataFrame, unknown: Column) -> DataFrame:
-    """words with vec, that of the word or else `unknown`. vectors: word, vec; broadcast if they are no more than a vocabulary has."""
-    if vectors.limit(MAX_VOCAB + 1).count() <= MAX_VOCAB:
+    if (most if most is not None else vectors.limit(MAX_VOCAB + 1).count()) <= MAX_VOCAB:
         vectors = F.broadcast(vectors)
     return words.join(vectors, "word", "left").withColumn("vec", F.coalesce("vec", unknown))
 

@@ -71,9 +71,14 @@ def samples(pages: DataFrame, emit_tail: bool = False, counters: Counters | None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer tasks than there are; what follows costs more than moving the rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """df over all cores where its files give fewer tasks than there are; what follows costs more than moving the rows.
+
+    Plans with a shuffle, a sort or a join stay as they are: their tasks aren't known before they run.
+    """
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if any(x in plan.optimizedPlan().toString() for x in ("Aggregate", "Join", "Sort", "Repartition", "Window", "Limit", "Distinct")):
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -102,6 +102,12 @@ def vocab_of(spark: SparkSession, sf_dir: str, feats: DataFrame) -> DataFrame:
     return lexical.vocabulary(lexical.document_frequency(train, DF_OVER))
 
 
+def kept_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features and their vocabulary; the features are written once, and read for each of the two uses."""
+    feats = Tables(spark, "lexical").keep(features_of(spark, sf_dir), "features")
+    return feats, vocab_of(spark, sf_dir, feats)
+
+
 def scored_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a made-up probability, as models' output isn't the same everywhere."""
     l = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "source", "text"), "doc_id")
@@ -255,13 +261,13 @@ def document_frequency(spark, sf_dir):
 
 @query("vocab_index", f"WITH {ALL_FEATURES}, {SPLIT} {VOCAB} SELECT feature, idx FROM vocab")
 def vocab_index(spark, sf_dir):
-    return vocab_of(spark, sf_dir, features_of(spark, sf_dir))
+    return kept_features(spark, sf_dir)[1]
 
 
 @query("sparse_rows", f"WITH {ALL_FEATURES}, {SPLIT} {VOCAB} SELECT doc_id, part, idx, round(value, 6) AS value FROM feats JOIN vocab USING (feature) JOIN split USING (doc_id)")
 def sparse_rows(spark, sf_dir):
-    feats = features_of(spark, sf_dir)
-    rows = lexical.indexed(feats, vocab_of(spark, sf_dir, feats), "doc_id").join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
+    feats, vocab = kept_features(spark, sf_dir)
+    rows = lexical.indexed(feats, vocab, "doc_id").join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
     return rows.select("doc_id", "part", "idx", F.round("value", 6).alias("value"))
 
 
@@ -270,8 +276,8 @@ def sparse_rows(spark, sf_dir):
     f"WITH {ALL_FEATURES}, {SPLIT} {VOCAB} SELECT doc_id, count(*) AS entries, string_agg(idx::VARCHAR, ' ' ORDER BY idx) AS indices FROM feats JOIN vocab USING (feature) GROUP BY doc_id",
 )
 def sparse_row_build(spark, sf_dir):
-    feats = features_of(spark, sf_dir)
-    rows = lexical.sparse_rows(feats, vocab_of(spark, sf_dir, feats), "doc_id")
+    feats, vocab = kept_features(spark, sf_dir)
+    rows = lexical.sparse_rows(feats, vocab, "doc_id")
     return rows.select("doc_id", F.size("entries").cast("long").alias("entries"), F.concat_ws(" ", F.transform("entries", lambda x: x["idx"].cast("string"))).alias("indices"))
 
 
@@ -346,7 +352,7 @@ def looked_up(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, embed.DIMENSIONS).alias("vec"))
     vecs = ids.join(e, F.col("id") + 1 == F.col("vec_id")).select("word", "vec")
     unknown = e.where("vec_id = 0").first()["vec"]  # one row, as a literal
-    return embed.looked_up(w, vecs, F.array(*[F.lit(x).cast("float") for x in unknown]))
+    return embed.looked_up(w, vecs, F.array(*[F.lit(x).cast("float") for x in unknown]), most=embed.MAX_VOCAB)
 
 
 @query("embedding_lookup", f"WITH {LOW}, {VECTORS} SELECT doc_id, pos, low.w AS word, round(coalesce(vec, u)[1]::DOUBLE, 6) AS first FROM low CROSS JOIN unk LEFT JOIN vecs ON low.w = vecs.word")
@@ -399,17 +405,15 @@ def vocab_topk(spark, sf_dir):
 
 @query(
     "cooccurrence",
-    f"""WITH {LOW}, counts AS (SELECT w, count(*) AS n FROM low GROUP BY w HAVING count(*) >= 23), k AS (SELECT low.* FROM low SEMI JOIN counts USING (w)),
+    f"""WITH {LOW}, counts AS (SELECT w, count(*) AS n FROM low GROUP BY w HAVING count(*) >= 23 ORDER BY n DESC, w LIMIT 25000), k AS (SELECT low.* FROM low SEMI JOIN counts USING (w)),
 p AS (SELECT a.w AS x, b.w AS y, 1.0 / (b.pos - a.pos) AS weight FROM k a JOIN (SELECT doc_id, w, pos, unnest(range(pos - 15, pos)) AS near FROM k) b ON a.doc_id = b.doc_id AND a.pos = b.near)
 SELECT "left", "right", round(sum(weight)::DOUBLE, 6) AS weight FROM (SELECT x AS "left", y AS "right", weight::DOUBLE AS weight FROM p UNION ALL SELECT y, x, weight::DOUBLE FROM p) GROUP BY ALL""",
 )
 def cooccurrence(spark, sf_dir):
-    w = lexemes_of(spark, sf_dir)
-    known = w.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= embed.MIN_COUNT).select("word")
     # positions stay those of the whole sample, so a window counts words that aren't in the vocabulary as well
-    named = w.join(known.withColumn("known", F.lit(True)), "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")))
-    out = embed.cooccurrence(named, "doc_id").where("left is not null and right is not null")
-    return out.withColumn("weight", F.round("weight", 6))
+    known = known_of(spark, sf_dir)
+    sums = factors.pair_sums(samples_of(spark, sf_dir), "words", known)
+    return named_pairs(sums, known).select("left", "right", F.round("weight", 6).alias("weight"))
 
 
 @query("sample_length_extremes", f"WITH {WORDS}, n AS (SELECT doc_id, count(form) AS n FROM documents LEFT JOIN toks USING (doc_id) GROUP BY doc_id) SELECT min(n) AS min_len, max(n) AS max_len FROM n")
@@ -632,9 +636,8 @@ def word_vectors(spark, sf_dir):
 
 def lexical_matrix(spark, sf_dir):
     """doc_id, label, part, entries of labelled documents: lexical features by their index, absent ones missing."""
-    feats = Tables(spark, "lexical").keep(features_of(spark, sf_dir), "features")
-    rounded = feats.withColumn("value", F.round("value", 6))
-    rows = lexical.sparse_rows(rounded, vocab_of(spark, sf_dir, feats), "doc_id")
+    feats, vocab = kept_features(spark, sf_dir)
+    rows = lexical.sparse_rows(feats.withColumn("value", F.round("value", 6)), vocab, "doc_id")
     labelled = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(split_of(spark, sf_dir).select("doc_id", "part"), "doc_id")
     none = F.array().cast("array<struct<idx: int, value: double>>")
     return labelled.join(rows, "doc_id", "left").withColumn("entries", F.coalesce(F.col("entries").cast("array<struct<idx: int, value: double>>"), none))
@@ -689,6 +692,14 @@ def samples_of(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), F.lower).alias("words"))
 
 
+def named_pairs(pairs, known):
+    """Pairs of ids with left and right as words; a vocabulary's size is bounded."""
+    names = pairs.sparkSession.createDataFrame([(i, w) for w, i in known.items()], "id int, word string")
+    for side in ("left", "right"):
+        pairs = pairs.join(F.broadcast(names.select(F.col("id").alias(side), F.col("word").alias(f"{side}_word"))), side).drop(side).withColumnRenamed(f"{side}_word", side)
+    return pairs
+
+
 NEAR = f"""{LOW}, counts AS (SELECT w, count(*) AS n FROM low GROUP BY w HAVING count(*) >= 23 ORDER BY n DESC, w LIMIT 25000), k AS (SELECT low.* FROM low SEMI JOIN counts USING (w)),
 near AS (SELECT a.w AS x, b.w AS y, 1.0 / (b.pos - a.pos) AS weight FROM k a JOIN (SELECT doc_id, w, pos, unnest(range(pos - 15, pos)) AS near FROM k) b ON a.doc_id = b.doc_id AND a.pos = b.near),
 sums AS (SELECT "left", "right", sum(weight)::DOUBLE AS weight FROM (SELECT x AS "left", y AS "right", weight::DOUBLE AS weight FROM near UNION ALL SELECT y, x, weight::DOUBLE FROM near) GROUP BY ALL)"""
@@ -698,9 +709,7 @@ sums AS (SELECT "left", "right", sum(weight)::DOUBLE AS weight FROM (SELECT x AS
 def weighted_pairs(spark, sf_dir):
     known = known_of(spark, sf_dir)
     pairs = factors.weighted(factors.pair_sums(samples_of(spark, sf_dir), "words", known))
-    names = spark.createDataFrame([(i, w) for w, i in known.items()], "id int, word string")
-    left, right = (F.broadcast(names.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word"))) for c in ("left", "right"))
-    return pairs.join(left, "left").join(right, "right").select(F.col("left_word").alias("left"), F.col("right_word").alias("right"), F.round("y", 6).alias("y"), F.round("f", 6).alias("f"))
+    return named_pairs(pairs, known).select("left", "right", F.round("y", 6).alias("y"), F.round("f", 6).alias("f"))
 
 
 @query("factor_vectors")

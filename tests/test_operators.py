@@ -169,3 +169,12 @@ def test_streamed_scores_equal_batch_scores(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "feature", "value")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, score(rows).collect()))
+
+
+def test_turns_of_clustered_and_of_text_keys(spark):
+    """Ids in two clusters far apart, and keys that aren't numbers."""
+    ids = spark.range(3000).select(F.when(F.col("id") < 2999, F.col("id")).otherwise(1 << 50).alias("id")).repartition(5)
+    for rows, order in ((ids, lambda x: x), (ids.select(F.concat(F.lit("k"), "id").alias("id")), lambda x: x)):
+        got = sorted((r["id"], r["shard"]) for r in dataset.round_robin(rows, "id", 8).collect())
+        assert [s for _, s in got] == [k % 8 for k in range(3000)]
+    assert dataset.round_robin(ids.where("false"), "id").collect() == []
