@@ -283,7 +283,9 @@ def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[c] / n_of[c]).astype(np.float32).tobytes() for c in sums], pa.binary())], names=["chunk", "part"])
 
         sums = docs.mapInArrow(learn, "chunk int, n long, part binary").repartition("chunk").mapInArrow(add, "chunk int, part binary")
-        state = np.concatenate([np.frombuffer(p["part"], np.float32) for p in sorted(sums.collect(), key=lambda p: p["chunk"])])
+        made = sorted(sums.collect(), key=lambda p: p["chunk"])
+        if made:  # a round may have no rows with tokens where there are few
+            state = np.concatenate([np.frombuffer(p["part"], np.float32) for p in made])
         sent.destroy()
     return state[:SIZE].copy()
 
@@ -343,19 +345,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """Per row: the id, n_tokens, log_likelihood (the sum over all tokens of the whole text), per_token.
 
     Null and blank texts have no tokens, a sum of 0 and a null mean. Repeated rows are scored alike; other columns are
-    not read. The model's arrays have a fixed size, so they may be broadcast.
+    not read. An empty table gives no rows. The model's arrays have a fixed size, so they may be broadcast.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, as a broadcast object would need its class on the executors
+    sent = docs.sparkSession.sparkContext.broadcast((model.own, model.flat, model.share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        coding = coding_of(sent.value.own)
+        own, flat, share = sent.value
+        here, coding = Model(own, flat, share), coding_of(own)
         for b in batches:
             ns, sums = [], []
             for texts in small_groups(b.column("text").to_pylist()):
                 codes, n = coding.batch(texts)
                 ns.append(n)
-                sums.append(sent.value.score(codes, n))
+                sums.append(here.score(codes, n))
             n = np.concatenate(ns) if ns else np.zeros(0, np.int64)
             s = np.concatenate(sums) if sums else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_tokens", "log_likelihood", "per_token"])

@@ -102,3 +102,25 @@ def test_held_out_tokens_are_predicted_from_both_sides(spark, corpus):
     for k in ("near", "kind", "token"):
         lm.views(alone.flat)[k][:] = 0
     assert model.score(codes, n).sum() > alone.score(codes, n).sum() + 0.05 * n.sum()
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The package only on the driver's path: what a job sends has to be whole."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    said = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from broadsheet.llm import common, lm
+from broadsheet.session import build_session
+spark = build_session("alone", "local[2]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false")
+docs = spark.createDataFrame([(1, "a b c a b c"), (2, None)], "doc_id long, text string")
+print(lm.score(docs, lm.fit(docs, common.Scratch(spark, "x"))).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip().endswith("2"), ran.stderr[-2000:]
