@@ -18,9 +18,9 @@ MARKED_LEAST, SECTION_OVER, PAGE_OVER, RAW_SECTION_LEAST, LONG_PAGE = 100, 100,
 MARKER = r"\{\{реклама\}\}"
 
 
-def is_marked(text: Column) -> Column:
+def is_marked(text: Column, marker: str = MARKER) -> Column:
     """Upper or lower case; (?u) makes letters beyond ASCII fold as well."""
-    return text.rlike(f"(?iu){MARKER}")
+    return text.rlike(f"(?iu){marker}")
 
 
 def route(text: Column) -> Column:

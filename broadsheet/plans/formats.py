@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
-from broadsheet.operators import embed, samples
+from broadsheet.operators import analyser, catalog, embed, samples
 from broadsheet.plans.catalogue import query, table
 from broadsheet.plans.queries import ANALYSED, LOW, docs, known_of, lexemes_of, words_of
 from broadsheet.sources import packed, readers, runs, writers
@@ -158,3 +160,33 @@ def analysed_records_round_trip(spark, sf_dir):
     """The same by the rule that any line without a brace ends a sample."""
     rows = readers.analysed_records(spark, analysed_file(spark, sf_dir, "records"))
     return samples.analysed(rows, "sample_id").groupBy("form", "info").agg(F.count("*").alias("n"))
+
+
+#: A small analyser that any Python has: a line for each run of letters, and all lines when a mark has come.
+ANALYSER = r"""
+import re, sys
+for line in sys.stdin:
+    for w in re.findall("[A-Za-zÀ-ÖØ-öø-ÿ]+", line):
+        print(w + "{" + w.lower() + "=S}")
+    if line.strip() == "partSeparator":
+        sys.stdout.flush()
+"""
+
+
+@query(
+    "piped_analysis",
+    "SELECT form, lower(form) || '=S' AS info, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS form FROM documents) GROUP BY ALL",
+)
+def piped_analysis(spark, sf_dir):
+    """Every whole text through a process of each task, in chunks of 40 000 characters at most."""
+    lines = analyser.piped(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", [sys.executable, "-X", "utf8", "-c", ANALYSER])
+    return samples.analysed(lines, "doc_id").groupBy("form", "info").agg(F.count("*").alias("n"))
+
+
+@query("result_links", "SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, url AS link, min(page_id) AS first_page FROM pages WHERE contains(url, 'http') GROUP BY ALL")
+def result_links(spark, sf_dir):
+    """A result page for each host, made of the pages' addresses; its links, each once, from the first page that has it."""
+    pages = table(spark, sf_dir, "pages").where(F.contains("url", F.lit("http"))).select("page_id", F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"), "url")
+    shown = pages.withColumn("html", F.concat(F.lit('<h2 class="b-result__head"><a href="'), "url", F.lit('">x</a></h2> <a href="http://other">y</a>')))
+    links = shown.select("host", "page_id", F.explode(catalog.result_links(F.col("html"))).alias("link"))
+    return catalog.first_wins(links, "link", ["page_id", "host"]).select("host", "link", F.col("page_id").alias("first_page"))

@@ -148,7 +148,7 @@ def route_by_length(spark, sf_dir):
 
 @query("marker_flag", "SELECT doc_id, regexp_matches(text, '(?i)thé|été|école|über|ñ') AS flagged FROM documents")
 def marker_flag(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.col("text").rlike("(?iu)thé|été|école|über|ñ").alias("flagged"))
+    return docs(spark, sf_dir).select("doc_id", samples.is_marked(F.col("text"), "thé|été|école|über|ñ").alias("flagged"))
 
 
 @query("strip_comments_tags", "SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', ' ', 'g') AS text FROM pages")
