@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,31 @@ def result_links(spark, sf_dir):
     shown = pages.withColumn("html", F.concat(F.lit('<h2 class="b-result__head"><a href="'), "url", F.lit('">x</a></h2> <a href="http://other">y</a>')))
     links = shown.select("host", "page_id", F.explode(catalog.result_links(F.col("html"))).alias("link"))
     return catalog.first_wins(links, "link", ["page_id", "host"]).select("host", "link", F.col("page_id").alias("first_page"))
+
+
+@query("shards_round_trip", "SELECT doc_id::VARCHAR AS title, 'shard=' || ((row_number() OVER (ORDER BY doc_id) - 1) % 8) AS shard FROM documents WHERE text IS NOT NULL")
+def shards_round_trip(spark, sf_dir):
+    """Samples dealt out to eight shards, which are found again by their names."""
+    at = folder(spark, "shards")
+    writers.shards(docs(spark, sf_dir).where("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("title"), "text"), at, "doc_id")
+    out = None
+    for path in runs.shards(spark, at, prefix="shard="):  # as many as there are shards
+        own = readers.samples(spark, path).select("title", F.lit(path.rpartition("/")[2]).alias("shard"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(
+    "run_notes",
+    """WITH r AS (SELECT event_type, count(*) AS n, strftime(min(ts), '%Y-%m-%d-%H-%M') AS run FROM events GROUP BY event_type)
+SELECT run, event_type, n, (dense_rank() OVER (ORDER BY run DESC))::INT AS place FROM r""",
+)
+def run_notes(spark, sf_dir):
+    """A run for each kind of event, dated by its first one; what is noted at the runs, the newest first. Runs without notes don't count."""
+    root = folder(spark, "dated")
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    for r in kinds.collect():  # a few kinds
+        runs.note(spark, runs.new_run(spark, root, r["first"]), **{r["event_type"]: r["n"]})
+    runs.new_run(spark, root, datetime(2001, 1, 1))
+    found = [(r["name"], kind, n, k + 1) for k, r in enumerate(runs.runs(spark, root, ("info",)).collect()) for kind, n in runs.notes(spark, f"{root}/{r['name']}").items()]
+    return spark.createDataFrame(found, "run string, event_type string, n long, place int")
