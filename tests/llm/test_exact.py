@@ -63,3 +63,17 @@ def test_directory_doubles_where_it_is_full(spark):
     assert exact.directory(keys, bucket_keys=10_000, max_depth=14) == [(0, 0)]
     same = spark.range(1).select(F.lit(5).cast("long").alias("hash"))
     assert exact.directory(same, bucket_keys=1, max_depth=14) == [(0, 0)]
+
+
+def test_tasks_split_full_entries_like_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(exact, "MIN_DEPTH", 3)
+    crowd = spark.range(4000).select((F.xxhash64("id").bitwiseAND((1 << 55) - 1)).alias("hash"))  # all under few prefixes
+    keys = crowd.union(spark.range(4000).select(F.xxhash64("id").alias("hash"))).distinct()
+    n, size = keys.count(), 150
+    depth = max(3, (n // size).bit_length() + exact.SPARE_DEPTH)
+    entries = exact.directory(keys, size, depth)
+    spread = len(entries).bit_length() - 1
+    want = {h: (p << (depth - d)) for h in (r["hash"] for r in keys.collect()) for p, d in [entries[(h % (1 << 64)) >> (64 - spread)]]}
+    for few in (1 << 18, 1):  # cells by broadcast, and by a shuffle
+        monkeypatch.setattr(exact, "BROADCAST_ENTRIES", few)
+        assert {r["hash"]: r["bucket"] for r in exact.owned(keys, n, size).collect()} == want
