@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, SPACE, SPACE_CHARS, Scratch, let
 
-#: A line goes from a host's documents when more than this share of the host's different texts has it ...
+#: A line goes from a host's documents when more than this share of the host's documents has it ...
 LINE_SHARE = 0.10
 #: ... and at least so many of them.
-LINE_TEXTS = 20
+LINE_DOCS = 20
 #: A document is depleted when fewer than this share of the words of its different lines is left.
 LEFT_SHARE = 0.5
 
@@ -86,34 +86,38 @@ def measure(docs: DataFrame, columns: list[str] = []) -> DataFrame:  # noqa: B00
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_texts: int = LINE_TEXTS, left_share: float = LEFT_SHARE, columns: list[str] = []) -> DataFrame:  # noqa: B006
+def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE, columns: list[str] = [], copies_count: bool = True) -> DataFrame:  # noqa: B006
     """Per row: doc_id, key, the base counts, left_words, base_failed, kept, source, text, n_lost, and the further columns named.
 
     Base: under 50 words, or over half of the words in repeated windows of three, fails. Beyond it, lines are
     compared in lower case with runs of white space as one space and runs of digits as 0. A line is common to a host
-    (the source column; null is a host) when more than line_share of the host's different texts, and line_texts at
-    least, have it; copies of a text count once. Common lines are taken out of the text that is returned, each time
+    (the source column; null is a host) when more than line_share of the host's different documents, and line_docs at
+    least, have it; rows that repeat an id and its text are one document. With copies_count=False, copies of a text under
+    several ids are one as well, so that a text isn't rejected for its own copies, where they go afterwards. Common lines are taken out of the text that is returned, each time
     they occur (n_lost times in all; a null text stays null); the key is that of the text before. A document is rejected
     when of the words of its lines, each different line once, under left_share is left.
     Null texts count as empty, so they fail. Repeated rows are judged alike and all returned. An empty table gives no rows.
 
-    The source text is read once, and split into lines once. A line's texts are counted from partial sums. A host's
-    common lines meet its rows by a broadcast if they are few; else each text's own ones by a join.
+    The source text is read once, and split into lines once. A line's documents are counted from partial sums. A host's
+    common lines meet its rows by a broadcast if they are few; else each text's own ones by a join. A host has fewer common
+    lines than 1 / line_share times its mean number of different lines a document, so comparing all of its rows with
+    them takes time in proportion to its lines.
     """
     base = scratch.keep(measure(docs, columns), "base", compression="zstd")
     host = F.coalesce("source", F.lit("")).alias("host")
-    texts = base.select(host, "key", "lines")
-    lines = texts.select("host", "key", F.explode("lines").alias("x")).select("host", "key", "x.line")
+    who = ["host", "key", "doc_id"] if copies_count else ["host", "key"]
+    texts = base.select(host, "key", "doc_id", "lines")
+    lines = texts.select(*who, F.explode("lines").alias("x")).select(*who, "x.line")
     lines = lines.distinct()
-    sizes = texts.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_texts)
-    common = often.join(sizes, "host").where(F.col("n") > line_share * F.col("texts")).select("host", "line")
+    sizes = texts.select(*who).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
+    common = often.join(sizes, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
     common = scratch.keep(common, "common")
     rows = base.withColumn("host", host)
     if common.count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(common.groupBy("host").agg(F.collect_list("line").alias("common"))), "host", "left")
     else:
-        gone = lines.join(common, ["host", "line"]).groupBy("host", "key").agg(F.collect_list("line").alias("common"))
+        gone = lines.join(common, ["host", "line"]).groupBy("host", "key").agg(F.collect_set("line").alias("common"))
         rows = rows.join(scratch.keep(gone, "gone"), ["host", "key"], "left")
     rows = rows.withColumn("lost", F.when(F.col("common").isNotNull(), F.array_intersect("marks", "common")))
     stays = lambda x, i: ~F.coalesce(F.array_contains("lost", F.get("marks", i)), F.lit(False))

@@ -94,15 +94,15 @@ words AS (
 ), dups AS (
   SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY doc_id
 ), plain AS (
-  SELECT DISTINCT host, text, regexp_replace(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line FROM lines
+  SELECT DISTINCT doc_id, host, text, regexp_replace(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line FROM lines
 ), sizes AS (
-  SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host
+  SELECT host, count(*) AS n_docs FROM (SELECT DISTINCT host, doc_id, text FROM docs) GROUP BY host
 ), common AS (
-  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM plain GROUP BY host, line) JOIN sizes USING (host) WHERE n >= 20 AND n > 0.10 * texts
+  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM plain GROUP BY host, line) JOIN sizes USING (host) WHERE n >= 20 AND n > 0.10 * n_docs
 ), of_text AS (
-  SELECT host, text, sum(len(line) - len(replace(line, ' ', '')) + 1) AS all_,
+  SELECT doc_id, host, text, sum(len(line) - len(replace(line, ' ', '')) + 1) AS all_,
     coalesce(sum(len(line) - len(replace(line, ' ', '')) + 1) FILTER ((host, line) IN (SELECT (host, line) FROM common)), 0) AS gone
-  FROM plain GROUP BY host, text
+  FROM plain GROUP BY doc_id, host, text
 ), base AS (
   SELECT doc_id, host, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
@@ -112,7 +112,7 @@ words AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(all_ - gone, 0) >= 0.5 * coalesce(all_, 0) AS kept, coalesce(all_ - gone, 0)::BIGINT AS left_words
-FROM judged LEFT JOIN of_text USING (host, text)
+FROM judged LEFT JOIN of_text USING (doc_id, host, text)
 """,
 )
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,18 @@ def test_common_lines_deplete_and_spare(spark):
     assert all(got[i]["kept"] for i in range(200)), "documents with enough of their own stay"
     assert not got[1000]["kept"] and not got[1001]["kept"] and got[1000]["left_words"] == 4
     assert got[1002]["kept"] and got[1003]["kept"], "the line is rare on these hosts"
-    assert all(got[2000 + i]["kept"] for i in range(300)), "copies count as one text"
+    assert not any(got[2000 + i]["kept"] for i in range(300)), "each copy is a document that has the line"
+    once = {r["doc_id"]: r for r in quality.judge(df, Scratch(spark, "o"), copies_count=False).collect()}
+    assert all(once[2000 + i]["kept"] for i in range(300)), "copies count as one text"
+    assert not once[1000]["kept"] and once[1002]["kept"]
+
+
+def test_rows_that_repeat_are_one_document(spark):
+    line = " ".join(f"common{spell(j)}" for j in range(60))
+    rows = host(70, 200, "", 1) + [(1000, line, "h1")] * 40 + [(None, line + " x", "h1")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge(df, Scratch(spark, "r")).where("doc_id = 1000 or doc_id is null").collect()
+    assert len(got) == 80 and all(r["kept"] for r in got)
 
 
 def test_common_lines_go_from_the_texts(spark, monkeypatch):
@@ -74,6 +85,8 @@ def test_common_lines_go_from_the_texts(spark, monkeypatch):
     want = sorted((i, f"{own[i]}\n\nend {spell(i)}" if i < 40 else t) for i, t, *_ in rows)
     for few in (quality.BROADCAST_ROWS, 0):  # a host's lines by broadcast, and each text's by a join
         monkeypatch.setattr(quality, "BROADCAST_ROWS", few)
+        rules = quality.judge(df, Scratch(spark, f"c{few}")).where("kept")
+        assert sorted((r["doc_id"], r["text"]) for r in rules.collect()) == want
         got = corpus_pipeline.quality_rules(spark, df, "").collect()
         assert sorted((r["doc_id"], r["text"]) for r in got) == want
         assert all(r["n_chars"] == (len(r["text"]) if r["doc_id"] < 40 else 1) for r in got)
