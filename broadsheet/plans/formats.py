@@ -7,9 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from broadsheet.functions import tokens
 from broadsheet.operators import analyser, catalog, embed, samples
 from broadsheet.plans.catalogue import query, table
-from broadsheet.plans.queries import ANALYSED, LOW, docs, known_of, lexemes_of, words_of
+from broadsheet.plans.queries import ANALYSED, LOW, docs, known_of, lexemes_of, spoken
 from broadsheet.sources import packed, readers, runs, writers
 from broadsheet.sources.tables import Tables
 
@@ -133,8 +134,7 @@ def packed_round_trip(spark, sf_dir):
 @query("lexeme_file", f"WITH {LOW} SELECT string_agg(w, ' ' ORDER BY pos) AS line FROM low GROUP BY doc_id")
 def lexeme_file(spark, sf_dir):
     at = folder(spark, "lexemes")
-    rows = lexemes_of(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("x"))
-    writers.lexeme_stream(rows.select(F.transform("x", lambda r: r["word"]).alias("lexemes")), at)
+    writers.lexeme_stream(spoken(spark, sf_dir).select(F.col("words").alias("lexemes")), at)
     return spark.read.text(at).select(F.col("value").alias("line"))
 
 
@@ -143,9 +143,9 @@ TOKENS_READ = f"WITH {ANALYSED} SELECT form, info, count(*) AS n FROM an GROUP B
 
 def analysed_file(spark, sf_dir, name: str) -> str:
     at = folder(spark, name)
-    token = F.concat("form", F.lit("{"), "info", F.lit("}"))
-    rows = words_of(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))).alias("x"))
-    writers.analysed(rows.select(F.concat_ws("\n", F.transform("x", lambda r: r["t"])).alias("lines")), at)
+    rows = samples.spread(docs(spark, sf_dir).select("text")).select(samples.forms(F.col("text")).alias("l")).where(F.size("l") > 0)
+    token = lambda x: F.concat(x, F.lit("{"), tokens.rule_analysis(x), F.lit("}"))
+    writers.analysed(rows.select(F.concat_ws("\n", F.transform("l", token)).alias("lines")), at)
     return at
 
 
