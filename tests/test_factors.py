@@ -98,3 +98,28 @@ def test_no_pairs(spark):
     assert fitted.count() == 1
     with pytest.raises(ValueError):
         factors.vocabulary(spark.createDataFrame([("a", 1)], "word string, id int"))
+
+
+def test_buckets_and_slices(spark, corpus_, monkeypatch):
+    """Sums don't depend on how ids are cut into buckets and places into slices, and what moves is packed."""
+    rows, known, df = corpus_
+    want = {(r["left"], r["right"]): r["weight"] for r in factors.pair_sums(df, "words", known).collect()}
+    for name, value in (("CELLS", 6), ("SLICE", 7), ("ROWS", 3)):
+        monkeypatch.setattr(factors, name, value)
+    assert factors.buckets(9)[0] == (0, 2) and factors.buckets(9)[-1][1] == 9
+    sums = factors.pair_sums(df, "words", known)
+    got = [(r["left"], r["right"], r["weight"]) for r in sums.collect()]
+    assert len(got) == len(want) and {(x, y): w for x, y, w in got} == want
+    assert "Aggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("together, dense", [(4, 0.0), (1, 2.0)])
+def test_words_together_like_one_by_one(spark, corpus_, monkeypatch, together, dense):
+    rows, known, df = corpus_
+    monkeypatch.setattr(factors, "TOGETHER", together)
+    monkeypatch.setattr(factors, "DENSE", dense)
+    fitted, curve = factors.fit(factors.weighted(factors.pair_sums(df, "words", known, 5), P), known, Tables(spark, "f"), P)
+    losses, A, B = plain_fit(plain_sums(rows, known, 5), len(known), P)
+    assert np.allclose([(r["loss"], r["penalty"]) for r in curve.orderBy("round").collect()], losses)
+    vecs = {r["word"]: (r["vec"], r["context"]) for r in fitted.collect()}
+    assert all(np.allclose(vecs[w][0], A[i]) and np.allclose(vecs[w][1], B[i]) for w, i in known.items())
