@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from broadsheet.functions import tokens
 from broadsheet.operators import analyser, catalog, embed, samples
 from broadsheet.plans.catalogue import query, table
 from broadsheet.plans.queries import ANALYSED, LOW, docs, known_of, lexemes_of, spoken
@@ -143,9 +142,8 @@ TOKENS_READ = f"WITH {ANALYSED} SELECT form, info, count(*) AS n FROM an GROUP B
 
 def analysed_file(spark, sf_dir, name: str) -> str:
     at = folder(spark, name)
-    rows = samples.spread(docs(spark, sf_dir).select("text")).select(samples.forms(F.col("text")).alias("l")).where(F.size("l") > 0)
-    token = lambda x: F.concat(x, F.lit("{"), tokens.rule_analysis(x), F.lit("}"))
-    writers.analysed(rows.select(F.concat_ws("\n", F.transform("l", token)).alias("lines")), at)
+    rows = samples.block_lines(samples.word_blocks(docs(spark, sf_dir), "doc_id"), "doc_id")
+    writers.analysed(rows.select("lines"), at)
     return at
 
 
@@ -153,14 +151,14 @@ def analysed_file(spark, sf_dir, name: str) -> str:
 def analysed_round_trip(spark, sf_dir):
     """An analyser's lines, framed by the separator."""
     rows = readers.analysed_samples(spark, analysed_file(spark, sf_dir, "analysed"))
-    return samples.analysed(rows, "sample_id").groupBy("form", "info").agg(F.count("*").alias("n"))
+    return samples.analysis_counts(rows)
 
 
 @query("analysed_records_round_trip", TOKENS_READ)
 def analysed_records_round_trip(spark, sf_dir):
     """The same by the rule that any line without a brace ends a sample."""
     rows = readers.analysed_records(spark, analysed_file(spark, sf_dir, "records"))
-    return samples.analysed(rows, "sample_id").groupBy("form", "info").agg(F.count("*").alias("n"))
+    return samples.analysis_counts(rows)
 
 
 #: A small analyser that any Python has: a line for each run of letters, and all lines when a mark has come.
@@ -180,8 +178,8 @@ for line in sys.stdin:
 )
 def piped_analysis(spark, sf_dir):
     """Every whole text through a process of each task, in chunks of 40 000 characters at most."""
-    lines = analyser.piped(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", [sys.executable, "-X", "utf8", "-c", ANALYSER])
-    return samples.analysed(lines, "doc_id").groupBy("form", "info").agg(F.count("*").alias("n"))
+    lines = analyser.piped(samples.spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", [sys.executable, "-X", "utf8", "-c", ANALYSER])
+    return samples.analysis_counts(lines)
 
 
 @query("result_links", "SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, url AS link, min(page_id) AS first_page FROM pages WHERE contains(url, 'http') GROUP BY ALL")

@@ -59,12 +59,10 @@ def analysed_samples(spark: SparkSession, path: str) -> DataFrame:
 def analysed_records(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, lines of an analyser's output in which any line without a brace ends a sample."""
     whole = analysed_samples(spark, path)
-    line = whole.select("sample_id", F.posexplode(F.split("lines", "\n")).alias("pos", "line"))
-    ends = ~F.contains("line", F.lit("{"))
-    part = F.sum(ends.cast("int")).over(Window.partitionBy("sample_id").orderBy("pos"))
-    rows = line.withColumn("part", part).where(~ends)
-    out = rows.groupBy("sample_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    return out.select(F.concat_ws("-", F.col("sample_id").cast("string"), F.col("part").cast("string")).alias("sample_id"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("lines"))
+    # cut at the lines without a brace, each with the line end before it; nothing is a row for a line
+    part = whole.select("sample_id", F.posexplode(F.split("lines", r"(?:^|\n)[^{\n]*+(?=\n|\z)")).alias("part", "lines"))
+    part = part.withColumn("lines", F.ltrim("lines", F.lit("\n"))).where("lines <> ''")
+    return part.select(F.concat_ws("-", F.col("sample_id").cast("string"), F.col("part").cast("string")).alias("sample_id"), "lines")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
