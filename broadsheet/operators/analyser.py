@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import queue
+import re
 import subprocess
 import threading
 from collections.abc import Iterator
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 # Characters of a chunk, white space to cut at, and the word that ends a chunk on its way.
 LIMIT, SPACES, MARK = 40_000, (" ", " ", "\n", "\t"), "partSeparator"
-#: Lines of an analyser's output that may wait, and seconds without any after which it counts as stuck.
-WAITING, PATIENCE = 10_000, 600
+#: Pieces of an analyser's output that may wait, bytes of one at most, and seconds without any after which it counts as stuck.
+WAITING, PIECE, PATIENCE = 64, 1 << 18, 600
 
 
 def chunks(text: str, limit: int = LIMIT) -> Iterator[tuple[int, str]]:
@@ -45,7 +46,8 @@ class Pipe:
 
     def __init__(self, command: list[str], mark: str) -> None:
         self.mark = mark
-        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8")
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.rest = b""
         self.said: queue.Queue = queue.Queue(WAITING)
         self.fed: queue.Queue = queue.Queue(8)
         self.over = threading.Event()
@@ -56,16 +58,16 @@ class Pipe:
         try:
             while (text := self.fed.get()) is not None:
                 # a chunk's lines stand before a line with the mark alone
-                self.process.stdin.write(f"{text}\n{self.mark}\n")
+                self.process.stdin.write(f"{text}\n{self.mark}\n".encode())
                 self.process.stdin.flush()
             self.process.stdin.close()
         except OSError:  # it has ended; take() tells
             pass
 
     def take(self) -> None:
-        for line in self.process.stdout:
-            self.said.put(line.rstrip("\n"))
-        self.said.put(None)
+        while piece := self.process.stdout.read1(PIECE):
+            self.said.put(piece)
+        self.said.put(b"")
 
     def send(self, text: str) -> None:
         while True:
@@ -76,19 +78,24 @@ class Pipe:
                     raise RuntimeError(f"the analyser ended with {self.process.returncode}") from None
 
     def lines(self) -> list[str]:
-        """What is said up to the next mark: the token lines of a chunk."""
-        out = []
+        """What is said up to the next mark: the token lines of a chunk. It is looked for in pieces of output, not line by line."""
+        end = re.compile(rb"(?:^|\n)" + re.escape(self.mark.encode()) + rb"(?:\{[^\n]*)?\r?\n")
+        parts = [self.rest]
         while True:
+            # a line is whole when its end has come, so all but the last one of the pieces are looked through
+            if b"\n" in parts[-1]:
+                said = b"".join(parts)
+                looked = sum(map(len, parts[:-1]))
+                if found := end.search(said, max(0, said.rfind(b"\n", 0, max(0, said.rfind(b"\n", 0, looked))))):
+                    self.rest = said[found.end() :]
+                    return [x for x in said[: found.start()].decode().replace("\r\n", "\n").replace("\r", "\n").split("\n") if x]
             try:
-                line = self.said.get(timeout=PATIENCE)
+                piece = self.said.get(timeout=PATIENCE)
             except queue.Empty:
                 raise RuntimeError("the analyser says nothing any more") from None
-            if line is None:
+            if not piece:
                 raise RuntimeError(f"the analyser ended with {self.process.wait()} before the end of a chunk")
-            if line.split("{", 1)[0] == self.mark:
-                return out
-            if line:
-                out.append(line)
+            parts.append(piece)
 
     def close(self) -> None:
         self.process.kill()
