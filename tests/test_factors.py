@@ -113,11 +113,12 @@ def test_buckets_and_slices(spark, corpus_, monkeypatch):
     assert "Aggregate" not in sums._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("together, dense", [(4, 0.0), (1, 2.0)])
+@pytest.mark.parametrize("together, dense", [(4, 0.0), (2, 0.7), (1, 2.0)])
 def test_words_together_like_one_by_one(spark, corpus_, monkeypatch, together, dense):
     rows, known, df = corpus_
     monkeypatch.setattr(factors, "TOGETHER", together)
     monkeypatch.setattr(factors, "DENSE", dense)
+    monkeypatch.setattr(factors, "MANY", 0)
     fitted, curve = factors.fit(factors.weighted(factors.pair_sums(df, "words", known, 5), P), known, Tables(spark, "f"), P)
     losses, A, B = plain_fit(plain_sums(rows, known, 5), len(known), P)
     assert np.allclose([(r["loss"], r["penalty"]) for r in curve.orderBy("round").collect()], losses)
