@@ -35,8 +35,12 @@ OWN = TOKENS - RARE
 AROUND, HIDDEN = 2, 24
 #: Rounds of training, step size, tokens of a step.
 ROUNDS, STEP, BLOCK = 3, 0.1, 8192
+#: Places whose layers are worked out at once, and a number up to which exponentials can be summed as they are.
+PLACES, LIMIT = 1024, 80
 #: Tokens that a training task has at least where the input's partitions allow it: each task sends a whole network.
 TASK = 2_000_000
+#: Tokens that are worked on together where texts are coded already, about as many as small_groups has words.
+GROUP = 600_000
 #: Numbers of a network that travel together.
 CHUNK = 8192
 
@@ -82,15 +86,26 @@ class Coding(dict):
             return self.own[word] * CELLS
         return (OWN + zlib.crc32(word[-3:].encode()) % RARE) * CELLS + zlib.crc32(word.encode()) % CELLS
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, with AROUND borders before, between and after them; and the number of words of each."""
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all texts, one after another, and the number of words of each."""
         if len(self) > WORDS:
             self.clear()
-        cut = [words_of(t) for t in texts]
-        n = np.array([len(w) for w in cut], np.int64)
-        codes = np.full(int(n.sum()) + AROUND * (len(n) + 1), TOKENS * CELLS, np.int32)
-        codes[centres(n)] = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int32, int(n.sum()))
-        return codes, n
+        n = []
+
+        def words() -> Iterator[list[str]]:
+            # a text's words are gone before the next one's, so they stay in a core's cache
+            for t in texts:
+                found = words_of(t)
+                n.append(len(found))
+                yield found
+
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(words())), np.int32)
+        return codes, np.array(n, np.int64)
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all texts, with AROUND borders before, between and after them; and the number of words of each."""
+        codes, n = self.cut(texts)
+        return bordered(codes, n), n
 
 
 def centres(n: np.ndarray) -> np.ndarray:
@@ -98,6 +113,46 @@ def centres(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + AROUND * (1 + np.repeat(np.arange(len(n)), n))
 
 
+def bordered(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.full(len(codes) + AROUND * (len(n) + 1), TOKENS * CELLS, np.int32)
+    out[centres(n)] = codes
+    return out
+
+
+def code_texts(docs: DataFrame, own: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Per row: the id, and tokens and cells of the whole text's words, two bytes each; null and blank texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coding = coding_of(own)
+        for b in batches:
+            at = 0
+            for texts in small_groups(b.column("text").to_pylist()):
+                codes, n = coding.cut(texts)
+                ends = pa.py_buffer(np.append(0, np.cumsum(2 * n)).astype(np.int32))
+                parts = [pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(v.astype(np.uint16))]) for v in (codes // CELLS, codes % CELLS)]
+                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(n)), *parts], names=[id_col, "tokens", "cells"])
+                at += len(n)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, tokens binary, cells binary")
+
+
+def groups(b: pa.RecordBatch, own: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What Coding.batch gives for the texts of a batch, or for what code_texts() made of them (cells only where it has them)."""
+    if "text" in b.schema.names:
+        yield from map(coding_of(own).batch, small_groups(b.column("text").to_pylist()))
+        return
+    columns = [b.column(k) for k in ("tokens", "cells") if k in b.schema.names]
+    n = np.array([len(t) // 2 for t in columns[0].to_pylist()], np.int64)
+    # rows whose first token is in the same GROUP of tokens
+    of = (np.cumsum(n) - n) // GROUP
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(n) else []
+    for i, j in zip(starts, [*starts[1:], len(n)]):
+        codes, *cells = (np.frombuffer(b"".join(c.slice(i, j - i).to_pylist()), np.uint16).astype(np.int32) for c in columns)
+        codes *= CELLS
+        yield bordered(sum(cells, codes), n[i:j]), n[i:j]
+
+
 def coding_of(own: list[str]) -> Coding:
     """The coding of these words; a worker keeps the last one, with what it has coded."""
     kept = worker_cache()
@@ -117,20 +172,23 @@ def one_thread() -> None:
                     getattr(lib, name)(1)
 
 
-def softmax(z: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log P of each column's slot; and the sums of the exponentials that it puts in z's place, for gradients."""
-    z -= z.max(axis=0)
-    said = z[slot, np.arange(len(slot))]
+def softmax(z: np.ndarray, said: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """log P of what each row said, a place in z as a whole; and the sums of the exponentials that it puts in z's place, for gradients.
+
+    small says that no number passes LIMIT, so that exponentials can be taken as they are.
+    """
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
+    of = z.take(said)
     np.exp(z, out=z)
-    total = z.sum(axis=0)
-    return said - np.log(total), total
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return of - np.log(total), total
 
 
-def errors(z: np.ndarray, total: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Gradients of -log P of the slots by the numbers that softmax() was given."""
-    z *= 1 / total
-    z[slot, np.arange(len(slot))] -= 1
-    return z
+def errors(z: np.ndarray, total: np.ndarray, said: np.ndarray) -> None:
+    """Puts in z's place the gradients of -log P of what was said by the numbers that softmax() was given."""
+    z *= (1 / total)[:, None]
+    z.reshape(-1)[said] -= 1
 
 
 #: The arrays of a network, one after another in a vector: embeddings of the tokens at each side, scales of each side's
@@ -168,84 +226,102 @@ class Network:
     """A network and the sums of squared gradients of its training, as one vector."""
 
     def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None) -> None:
+        one_thread()  # products are small, and rounding would depend on the number of threads
         self.flat, self.squares = flat, squares
         self.net = views(flat)
         self.sq = None if squares is None else views(squares)
 
-    def hidden(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
-        """The hidden layer, a row for each unit and one of ones; and per side and distance the neighbours and their embeddings."""
-        net = self.net
-        a = np.repeat(net["hidden"][None], len(at), 0)
-        seen = []
-        for side, sign in ((0, -1), (1, 1)):
-            for d in range(AROUND):
-                ids = x[at + sign * (d + 1)]
-                rows = net["near"][side].take(ids, axis=0)
-                seen.append((ids, rows))
-                a += rows * net["scale"][side, d]
-        h = np.ones((HIDDEN + 1, len(at)), a.dtype)
-        h[:-1] = np.tanh(a, out=a).T
-        return h, seen
+    def scaled(self) -> np.ndarray:
+        """Embeddings of the tokens at each side and distance, by distance within side."""
+        return (self.net["near"][:, None] * self.net["scale"][:, :, None]).reshape(2 * AROUND, TOKENS + 1, HIDDEN)
+
+    def layers(self) -> np.ndarray:
+        """Per class the weights of the classes and, beside them, those of its tokens."""
+        return np.concatenate([np.broadcast_to(self.net["kinds"], self.net["tokens"].shape), self.net["tokens"]], axis=2)
+
+    def hidden(self, scaled: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The hidden layer and a column of ones, where ids are the neighbours as scaled() has them."""
+        a = scaled[0].take(ids[0], axis=0)
+        for rows, i in zip(scaled[1:], ids[1:]):
+            a += rows.take(i, axis=0)
+        a += self.net["hidden"]
+        h = np.ones((len(a), HIDDEN + 1), a.dtype)
+        h[:, :-1] = np.tanh(a, out=a)
+        return h
 
     def log_p(self, x: np.ndarray, at: np.ndarray, learn: bool = False) -> np.ndarray:
         """log P(token | both sides) at the places `at` of the tokens x; with learn, one step of Adagrad on their sum.
 
-        Layers have a row for each unit and a column for each place, so that sums over units run along the places.
+        Places go by class, and PLACES of them at once, so that their layers stay in a core's cache.
         """
-        order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
-        at = at[order]
-        kind, slot = np.divmod(x[at], SIDE)
-        h, seen = self.hidden(x, at)
-        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=SIDE)))
-        runs = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-        kinds, tokens = self.net["kinds"], self.net["tokens"]
-        z = kinds.T @ h
-        y = np.empty_like(z)
-        for k, run in runs:
-            np.matmul(tokens[k].T, h[:, run], out=y[:, run])
-        of_kind, z_total = softmax(z, kind)
-        of_slot, y_total = softmax(y, slot)
+        order = np.argsort((x.take(at) // SIDE).astype(np.uint8), kind="stable")
+        at = at.take(order)
+        scaled, layers = self.scaled(), self.layers()
+        # hidden units are between -1 and 1
+        small = bool(np.abs(layers).sum(axis=1).max() < LIMIT)
+        out = np.empty(len(at))
         if learn:
-            z, y = errors(z, z_total, kind), errors(y, y_total, slot)
-            dh, by_kind = kinds[:-1] @ z, np.zeros_like(tokens)
+            by_layer = np.zeros_like(layers)
+            da, seen = np.empty((len(at), HIDDEN), self.flat.dtype), np.empty((2 * AROUND, len(at)), np.int64)
+        for i in range(0, len(at), PLACES):
+            some = slice(i, i + PLACES)
+            here = at[some]
+            ids = np.stack([x.take(here + sign * (d + 1)) for sign in (-1, 1) for d in range(AROUND)]).astype(np.int64)
+            h = self.hidden(scaled, ids)
+            said = x.take(here).astype(np.int64)
+            kind = said // SIDE
+            starts = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+            runs = [(kind[i], slice(i, j)) for i, j in zip(starts, np.append(starts[1:], len(kind)))]
+            both = np.empty((len(h), 2 * SIDE), h.dtype)
             for k, run in runs:
-                dh[:, run] += tokens[k, :-1] @ y[:, run]
-                np.matmul(h[:, run], y[:, run].T, out=by_kind[k])
-            da = np.ascontiguousarray((dh * (1 - h[:-1] * h[:-1])).T)
-            self.step([("kinds", ..., h @ z.T), ("tokens", ..., by_kind), *self.below(seen, da)])
-        out = np.empty(len(at))
-        out[order] = of_kind.astype(np.float64) + of_slot
+                np.matmul(h[run], layers[k], out=both[run])
+            # a place has two rows, of classes and of tokens
+            z = both.reshape(-1, SIDE)
+            said = np.arange(0, z.size, SIDE) + np.stack([kind, said - kind * SIDE], axis=1).reshape(-1)
+            of, total = softmax(z, said, small)
+            out[order[some]] = of.reshape(-1, 2).sum(axis=1, dtype=np.float64)
+            if learn:
+                errors(z, total, said)
+                dh = np.empty((len(h), HIDDEN), h.dtype)
+                for k, run in runs:
+                    np.matmul(both[run], layers[k, :-1].T, out=dh[run])
+                    by_layer[k] += h[run].T @ both[run]
+                np.multiply(dh, 1 - h[:, :-1] * h[:, :-1], out=da[some])
+                seen[:, some] = ids
+        if learn:
+            self.step([("kinds", ..., by_layer[:, :, :SIDE].sum(axis=0)), ("tokens", ..., by_layer[:, :, SIDE:]), *self.below(seen, da)])
         return out
 
-    def below(self, seen: list, da: np.ndarray) -> list:
-        """Gradients below the hidden layer, given that of its input and what hidden() saw."""
-        steps = [("hidden", ..., da.sum(axis=0))]
-        for side in (0, 1):
-            mine = seen[side * AROUND : (side + 1) * AROUND]
-            of = np.concatenate([da * self.net["scale"][side, d] for d in range(AROUND)])
-            steps.append(("scale", side, np.stack([np.einsum("ij,ij->j", rows, da) for _, rows in mine])))
-            ids = np.concatenate([i for i, _ in mine]).astype(np.uint16)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            steps.append(("near", (side, ids[firsts]), np.add.reduceat(of.take(order, axis=0), firsts, axis=0)))
-        return steps
+    def below(self, seen: np.ndarray, da: np.ndarray) -> list:
+        """Gradients below the hidden layer, given that of its input and its neighbours as in hidden()."""
+        # units are added up in pairs, as complex numbers: by pair, side, distance and token, over all places that have the token there
+        pairs = np.ascontiguousarray(da.view(np.result_type(da, np.complex64)).T)
+        sums = np.zeros((len(pairs), 2 * AROUND, TOKENS + 1), pairs.dtype)
+        for of, pair in zip(sums, pairs):
+            for by_token, ids in zip(of, seen):
+                np.add.at(by_token, ids, pair)
+        sums = np.ascontiguousarray(sums.transpose(1, 2, 0)).view(da.dtype).reshape(2, AROUND, TOKENS + 1, HIDDEN)
+        by_scale = np.einsum("sth,sdth->sdh", self.net["near"], sums)
+        sums *= self.net["scale"][:, :, None]
+        return [("hidden", ..., da.sum(axis=0)), ("scale", ..., by_scale), ("near", ..., sums.sum(axis=1))]
 
     def step(self, steps: list) -> None:
         for name, where, g in steps:
-            sq = self.sq[name][where] + g * g
-            self.sq[name][where] = sq
-            self.net[name][where] -= STEP * g / (np.sqrt(sq) + np.float32(1e-6))
+            sq = self.sq[name][where]
+            sq += g * g
+            root = np.sqrt(sq)
+            root += np.float32(1e-6)
+            self.net[name][where] -= np.divide(STEP * g, root, out=root)
 
 
 def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.ndarray:
     """The network after ROUNDS rounds. In round r each task takes every ROUNDS-th of its rows from the r-th on.
 
-    A task sends its network in chunks, which are summed as they come in, by owners of chunks; the driver gets one
+    docs has texts, or what code_texts() made of them. A task sends its network in chunks, which are summed as they come in, by owners of chunks; the driver gets one
     averaged network a round. A network's size is fixed, and tasks have TASK tokens or one of the input's partitions.
     """
     spark = docs.sparkSession
-    docs = docs.select("text")
+    docs = docs.select("text" if "text" in docs.columns else "tokens")
     docs = docs.coalesce(max(1, min(docs.rdd.getNumPartitions(), -(-tokens // TASK))))
     state = np.concatenate([flat, np.zeros(SIZE, np.float32)])
     chunks = -(-len(state) // CHUNK)
@@ -253,14 +329,12 @@ def train(docs: DataFrame, own: list[str], flat: np.ndarray, tokens: int) -> np.
         sent = spark.sparkContext.broadcast(state)
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, sent=sent) -> Iterator[pa.RecordBatch]:
-            one_thread()
             mine = sent.value.copy()
-            net, coding, row, n_all = Network(mine[:SIZE], mine[SIZE:]), coding_of(own), 0, 0
+            net, row, n_all = Network(mine[:SIZE], mine[SIZE:]), 0, 0
             for b in batches:
                 mine_of = pa.array(range((r - row) % ROUNDS, b.num_rows, ROUNDS), pa.int64())
                 row += b.num_rows
-                for group in small_groups(b.column("text").take(mine_of).to_pylist()):
-                    codes, n = coding.batch(group)
+                for codes, n in groups(b.take(mine_of), own):
                     x, at = codes // CELLS, centres(n)
                     # rows follow each other in a text, so a step takes places from all over the group
                     at = np.random.default_rng(r).permutation(at)
@@ -299,25 +373,15 @@ class Model:
     def score(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Sums of log P(word | both sides) for texts coded by Coding.batch."""
         net, x, at = Network(self.flat), codes // CELLS, centres(n)
-        # a block has few classes when all places are sorted by class
-        order = np.argsort((x[at] // SIDE).astype(np.uint8), kind="stable")
         cell = codes[at] - OWN * CELLS
-        logs = np.where(cell >= 0, self.share[np.maximum(cell, 0)], 0).astype(np.float64)
-        for i in range(0, len(at), BLOCK):
-            some = order[i : i + BLOCK]
-            logs[some] += net.log_p(x, at[some])
+        logs = np.where(cell >= 0, self.share[np.maximum(cell, 0)], 0) + net.log_p(x, at)
         ends = np.append(0.0, np.cumsum(logs))
         stops = np.cumsum(n)
         return ends[stops] - ends[stops - n]
 
 
-def fit(docs: DataFrame, scratch: Scratch) -> Model:
-    """The network of all whole texts of docs (column text), and the counts it starts from.
-
-    Null and blank texts have no tokens, and change nothing; repeated rows count each time. An empty table gives the network
-    before training, whose tokens are alike. No other column is read. The driver sees OWN words, RARE * CELLS counts and a
-    network a round, all of fixed size.
-    """
+def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[list[str], np.ndarray]:
+    """The OWN most frequent words of all whole texts, and the counts of all tokens and cells."""
     words = scratch.keep(count_words(docs), "words")
     # words with like endings stand together, so that classes are of like words
     own = sorted((r["word"] for r in words.orderBy(F.desc("n"), "word").limit(OWN).collect()), key=lambda w: w[::-1])
@@ -334,15 +398,37 @@ def fit(docs: DataFrame, scratch: Scratch) -> Model:
     found = words.mapInArrow(code, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     by_code = np.zeros((TOKENS, CELLS))
     by_code.reshape(-1)[found["code"].to_numpy()] = found["n"].to_numpy()
+    scratch.drop("words")
+    return own, by_code
+
+
+def fit_to(docs: DataFrame, own: list[str], by_code: np.ndarray) -> Model:
+    """The network of what train() takes, given its vocabulary()."""
     rare = by_code[OWN:] + 1
     share = np.log(rare / rare.sum(axis=1, keepdims=True)).reshape(-1).astype(np.float32)
-    scratch.drop("words")
-    flat = train(docs, own, start(by_code.sum(axis=1)), int(by_code.sum()))
-    return Model(own, flat, share)
+    return Model(own, train(docs, own, start(by_code.sum(axis=1)), int(by_code.sum())), share)
+
+
+def fit(docs: DataFrame, scratch: Scratch) -> Model:
+    """The network of all whole texts of docs (column text), and the counts it starts from.
+
+    Null and blank texts have no tokens, and change nothing; repeated rows count each time. An empty table gives the network
+    before training, whose tokens are alike. No other column is read. The driver sees OWN words, RARE * CELLS counts and a
+    network a round, all of fixed size.
+    """
+    return fit_to(docs, *vocabulary(docs, scratch))
+
+
+def fit_score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
+    """What score() gives for the texts that fit() is given. They are coded once, for all rounds and for the scores."""
+    own, by_code = vocabulary(docs, scratch)
+    coded = scratch.keep(code_texts(docs, own, id_col), "coded")
+    return score(coded, fit_to(coded, own, by_code), id_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """Per row: the id, n_tokens, log_likelihood (the sum over all tokens of the whole text), per_token.
+    """Per row of texts, or of what code_texts() made of them: the id, n_tokens, log_likelihood (the sum over all tokens of
+    the whole text), per_token.
 
     Null and blank texts have no tokens, a sum of 0 and a null mean. Repeated rows are scored alike; other columns are
     not read. An empty table gives no rows. The model's arrays have a fixed size, so they may be broadcast.
@@ -351,13 +437,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.own, model.flat, model.share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         own, flat, share = sent.value
-        here, coding = Model(own, flat, share), coding_of(own)
+        here = Model(own, flat, share)
         for b in batches:
             ns, sums = [], []
-            for texts in small_groups(b.column("text").to_pylist()):
-                codes, n = coding.batch(texts)
+            for codes, n in groups(b, own):
                 ns.append(n)
                 sums.append(here.score(codes, n))
             n = np.concatenate(ns) if ns else np.zeros(0, np.int64)
@@ -365,4 +449,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_tokens", "log_likelihood", "per_token"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, per_token double")
+    columns = ["text"] if "text" in docs.columns else ["tokens", "cells"]
+    return docs.select(id_col, *columns).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, per_token double")

@@ -76,6 +76,54 @@ def test_scores_are_sums_over_the_network(spark, odd, corpus):
     assert lm.score(odd.where("false"), none).count() == 0 and np.isfinite(none.flat).all()
 
 
+def test_coded_texts_train_and_score_as_texts(spark, odd, corpus):
+    for docs in (corpus.coalesce(1), odd.coalesce(1), odd.where("false")):
+        own, by_code = lm.vocabulary(docs, Scratch(spark, "own"))
+        coded = lm.code_texts(docs, own)
+        read = [(r["doc_id"], len(r["tokens"]), len(r["cells"])) for r in coded.collect()]
+        assert read == [(r["doc_id"], *[2 * len(lm.words_of(r["text"] or ""))] * 2) for r in docs.collect()]
+        by_text, by_code_of = lm.fit_to(docs, own, by_code), lm.fit_to(coded, own, by_code)
+        assert np.allclose(by_text.flat, by_code_of.flat, atol=1e-6)
+        same = [[(r["doc_id"], r["n_tokens"], round(r["log_likelihood"], 3)) for r in lm.score(d, by_text).collect()] for d in (docs, coded)]
+        assert same[0] == same[1]
+    rows = lm.fit_score(odd, Scratch(spark, "both")).collect()
+    assert len(rows) == odd.count() and {r["per_token"] for r in rows if not r["n_tokens"]} == {None}
+
+
+def test_groups_of_coded_texts_are_bounded(monkeypatch):
+    """Small groups have the same words, each text whole."""
+    monkeypatch.setattr(lm, "GROUP", 5)
+    n = np.array([3, 0, 4, 9, 0, 1, 2])
+    words = np.arange(n.sum())
+    parts = [w.astype(np.uint16).tobytes() for w in np.split(words, np.cumsum(n)[:-1])]
+    b = lm.pa.RecordBatch.from_arrays([lm.pa.array(parts, lm.pa.binary())] * 2, names=["tokens", "cells"])
+    got = list(lm.groups(b, []))
+    assert len(got) > 2 and np.array_equal(np.concatenate([k for _, k in got]), n)
+    assert np.array_equal(np.concatenate([c[lm.centres(k)] for c, k in got]), words * (lm.CELLS + 1))
+    assert all(len(c) == k.sum() + lm.AROUND * (len(k) + 1) for c, k in got)
+
+
+def test_words_are_coded_once(spark, corpus, monkeypatch):
+    """A text is cut for the counts and for its codes; rounds and scores read those."""
+    seen = []
+    code, train, score = lm.code_texts, lm.train, lm.score
+    monkeypatch.setattr(lm, "code_texts", lambda *a: seen.append("code") or code(*a))
+    monkeypatch.setattr(lm, "train", lambda docs, *a: seen.append(docs.columns) or train(docs, *a))
+    monkeypatch.setattr(lm, "score", lambda docs, *a: seen.append(docs.columns) or score(docs, *a))
+    lm.fit_score(corpus, Scratch(spark, "once"))
+    assert seen == ["code", ["doc_id", "tokens", "cells"], ["doc_id", "tokens", "cells"]]
+
+
+def test_large_numbers_are_summed_safely():
+    flat, x, at = made()
+    lm.views(flat)["kinds"][:] *= 40
+    lm.views(flat)["tokens"][:] *= 40
+    lm.views(flat)["kind_bias"][:] += 150
+    want = [by_hand(lm.views(flat), list(x), i) for i in at]
+    with np.errstate(over="raise", invalid="raise"):
+        assert np.allclose(lm.Network(flat).log_p(x, at), want, rtol=1e-4, atol=1e-2)
+
+
 def test_one_task_trains_as_the_plain_loop(spark, corpus):
     docs = corpus.coalesce(1)
     texts = [r["text"] or "" for r in docs.collect()]
